@@ -27,7 +27,8 @@ from gleaner.llm._common import WORD, parts_for, running_total, stage, text_of
 ROUNDS = 4
 #: A walk out of range meets fewer than sqrt(n) values; each step is out of range with odds below 1 / sqrt(n).
 WALK = 64
-CHUNK = 1 << 16
+CHUNK = 1 << 15
+MOST_TASKS = 20_000
 
 
 def water_fill(sizes: DataFrame, weights: Sequence[float], most_repeats: float) -> DataFrame:
@@ -119,7 +120,7 @@ def mix_slots(rows: DataFrame, targets: DataFrame, *, block_words: int, shard_wo
         (F.col("want") % F.col("source_size")).alias("rest"),
     ).withColumn("slots", F.col("epochs") * F.col("per_epoch") + F.ceil(F.col("rest") / span))
     chunks = want.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(CHUNK)))))
-    chunks = chunks.repartition("rank", "chunk")
+    chunks = chunks.repartition(min(MOST_TASKS, parts_for(total / block_words, CHUNK)), "rank", "chunk")
     first = F.col("chunk") * F.lit(CHUNK)
     slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(F.col("slots"), first + F.lit(CHUNK)) - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("per_epoch"))).withColumn("at", F.col("slot") % F.col("per_epoch"))
@@ -128,7 +129,8 @@ def mix_slots(rows: DataFrame, targets: DataFrame, *, block_words: int, shard_wo
     take = F.when(F.col("epoch") < F.col("epochs"), span.cast("long")).otherwise(F.least(span, F.col("rest") - F.col("at") * span))
     slots = slots.select("rank", "slot", "epoch", block.alias("block"), take.alias("take"), F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "slot"), F.lit(shards)).alias("shard"))
 
-    met = slots.join(pieces, ["rank", "block"]).withColumn("words", F.least(F.col("words"), F.col("take") - F.col("lead"))).where("words > 0")
+    # Spark takes the slots for a few rows, as their sources are; neither side is small.
+    met = slots.hint("merge").join(pieces, ["rank", "block"]).withColumn("words", F.least(F.col("words"), F.col("take") - F.col("lead"))).where("words > 0")
     return met.select("shard", "slot", "rank", "epoch", "row", "word_from", "words")
 
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, sharding, substring_dedup
+from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup
+
+#: The vocabulary file of a public tokenizer; any tokenizers file will do.
+TOKENIZER = str(Path(find_spec("public_tokenizers").origin).parent / "word_bpe_49k.json") if find_spec("public_tokenizers") else "/opt/tokenizers/word_bpe_49k.json"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +29,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), TOKENIZER, length=2048, digest_only=True)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_documents(spark, sf_dir), weights=(1, 2, 3), most_repeats=3.0)
 

@@ -20,6 +20,8 @@ SLICE_BYTES = 1 << 20
 
 _space = np.zeros(256, bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 
@@ -60,8 +62,9 @@ def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Itera
         start = stop
 
 
-def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, word starts, word ends, first): document i has the words first[i] .. first[i+1]-1."""
+def split(texts: pa.Array, lower: bool = False, blank: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, first): document i has the words first[i] .. first[i+1]-1.
+    ``blank`` says which bytes are no part of a word."""
     texts = texts.fill_null("").cast(pa.large_binary())
     _, offsets, data = texts.buffers()
     at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -72,7 +75,7 @@ def split(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray,
     n = len(raw)
     word = np.empty(n + 2, bool)
     word[0] = word[-1] = False
-    np.logical_not(_space[raw], out=word[1:-1])
+    np.logical_not(blank[raw], out=word[1:-1])
     edge = np.zeros(n + 1, bool)
     edge[at] = True
     inside = word[1:-1]

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, sharding, substring_dedup
+from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity
 
 #: The vocabulary file of a public tokenizer; any tokenizers file will do.
 TOKENIZER = str(Path(find_spec("public_tokenizers").origin).parent / "word_bpe_49k.json") if find_spec("public_tokenizers") else "/opt/tokenizers/word_bpe_49k.json"
@@ -17,6 +17,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
@@ -33,10 +37,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), TOKENIZER, length=2048, digest_only=True)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.7)
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(_documents(spark, sf_dir), weights=(1, 2, 3), most_repeats=3.0)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.5)
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=2)
 

@@ -1,9 +1,8 @@
 """Document fingerprints by one-permutation MinHash (DataFrame functions only).
 
 Every shingle of five words is hashed once. The low bits of the hash choose one of ``BINS`` bins, the
-others compete for the bin's minimum. An empty bin copies a full one, each by a probing order of
-its own over all bins (optimal densification: the first full bin of a random order is the full bin
-with the smallest pairwise hash). The low ``BITS`` bits of each bin are packed into 64-bit words and
+others compete for the bin's minimum. An empty bin copies the first full one of a probing order of its
+own over all bins (optimal densification). The low ``BITS`` bits of each bin are packed into 64-bit words and
 written as hexadecimal. Likeness is the share m of equal bins, corrected for chance agreement of b-bit
 values: (m - 2^-b) / (1 - 2^-b), at least 0.
 
@@ -27,6 +26,7 @@ BITS = 8
 VALUE_BITS = 48
 PER_WORD = 64 // BITS
 MOST_RANGES = 1 << 16
+PROBES = 16
 
 
 def _shingle_hashes(text: Column, shingle: int) -> Column:
@@ -60,21 +60,33 @@ def _binned(hashes: Column) -> Column:
 
 
 def _densified(bins: Column) -> Column:
-    """Low BITS bits per bin; empty bins copy the full bin that comes first in their own order."""
+    """Low BITS bits per bin. An empty bin copies the first full bin of its own probing order: PROBES
+    hashed places, then all bins in the order of a pairwise hash."""
     mark, low = 1 << VALUE_BITS, (1 << BITS) - 1
 
+    def any_empty(a: Column) -> Column:
+        return F.exists(a, lambda x: x >= mark)
+
     def fill(bins: Column) -> Column:
-        full = F.filter(F.transform(bins, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] < mark)
+        def probe(now: Column, r: Column) -> Column:
+            def place(i: Column) -> Column:
+                return F.pmod(F.xxhash64(r, i), F.lit(BINS)).cast("int")
+
+            probed = F.transform(now, lambda x, i: F.when(x < mark, x).otherwise(F.get(bins, place(i))))
+            return F.when(any_empty(now), probed).otherwise(now)
+
+        def scan(now: Column) -> Column:
+            full = F.filter(F.transform(bins, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["x"] < mark)
 
-        def one(full: Column) -> Column:
-            def probe(i: Column) -> Column:
+            def least(full: Column, i: Column) -> Column:
                 return F.array_min(F.transform(full, lambda s: F.struct(F.xxhash64(i, s["i"]).alias("h"), s["x"].alias("x"))))["x"]
 
-            return F.transform(bins, lambda x, i: (F.when(x < mark, x).otherwise(probe(i))).bitwiseAND(F.lit(low).cast("long")))
+            return let(full, lambda f: F.transform(now, lambda x, i: F.when(x < mark, x).otherwise(least(f, i))))
 
-        return let(full, one)
+        probed = F.aggregate(F.sequence(F.lit(1), F.lit(PROBES)), bins, probe)
+        return let(probed, lambda p: F.when(any_empty(p), scan(p)).otherwise(p))
 
-    return let(bins, fill)
+    return F.transform(let(bins, fill), lambda x: x.bitwiseAND(F.lit(low).cast("long")))
 
 
 def packed(text: Column, shingle: int = SHINGLE) -> Column:

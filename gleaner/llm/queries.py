@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, sharding, substring_dedup, toxicity
+from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 #: The vocabulary file of a public tokenizer; any tokenizers file will do.
 TOKENIZER = str(Path(find_spec("public_tokenizers").origin).parent / "word_bpe_49k.json") if find_spec("public_tokenizers") else "/opt/tokenizers/word_bpe_49k.json"
@@ -33,6 +33,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir), secrets.train(spark), path="source")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), TOKENIZER, length=2048, digest_only=True)
 

@@ -91,15 +91,17 @@ def drop_exact_duplicates(docs: DataFrame, *, max_filter_bits: int = 1 << 27) ->
 
     Whole rows of certainly unique texts stay in their partition; only suspects shuffle.
     """
-    columns = docs.columns
     digest = F.unhex(F.sha2(text_of(docs).cast("binary"), 256))
-    small = stage(docs.select("doc_id", digest.alias("_digest")), "digests")
+    small = stage(docs.select("doc_id", digest.alias("digest")), "digests")
     n = small.count()
     bits = _filter_bits(n, max_filter_bits)
-    words = stage(repeat_filter(small, "_digest", bits), "filter")
-    keepers = mark_suspects(small, "_digest", words, bits).where("_suspect").groupBy("_digest").agg(F.max("doc_id").alias("_keep"))
-    marked = mark_suspects(docs.withColumn("_digest", digest), "_digest", words, bits)
-    alone = marked.where(~F.col("_suspect")).select(*columns)
+    words = stage(repeat_filter(small, "digest", bits), "filter")
+    keepers = mark_suspects(small, "digest", words, bits).where("_suspect").groupBy("digest").agg(F.max("doc_id").alias("keep"))
+    # A row travels as one column, so that its own columns may have any name.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), digest.alias("digest"))
+    marked = mark_suspects(whole, "digest", words, bits)
+    alone = marked.where(~F.col("_suspect")).select("doc.*")
     rest = marked.where("_suspect")
-    survivors = rest.join(keepers, (rest["_digest"] == keepers["_digest"]) & rest["doc_id"].eqNullSafe(keepers["_keep"]), "left_semi")
-    return alone.unionByName(survivors.dropDuplicates(["_digest"]).select(*columns))
+    kept = (rest["digest"] == keepers["digest"]) & rest["doc.doc_id"].eqNullSafe(keepers["keep"])
+    survivors = rest.join(keepers, kept, "left_semi").dropDuplicates(["digest"])
+    return alone.unionByName(survivors.select("doc.*"))

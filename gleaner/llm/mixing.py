@@ -162,20 +162,21 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     A document wholly taken keeps its text unchanged; of one partly taken, the words taken remain,
     in order and joined by one space. Columns are those of ``docs``, n_chars following the text.
     """
-    columns = docs.columns
-    whole = docs.withColumn("_row", F.monotonically_increasing_id())
-    whole = stage(whole.withColumn("_size", F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")), "rows")
-    rows = whole.select(F.col("_row").alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), F.xxhash64(text_of(whole)).alias("tie"))
+    size = F.regexp_count(text_of(docs), F.lit(WORD)).cast("long")
+    # A row travels as one column, so that its own columns may have any name.
+    whole = stage(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"), size.alias("size")), "rows")
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    rows = whole.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", F.xxhash64(text).alias("tie"))
     weights, repeats = options.pop("weights", (1, 2, 3)), options.pop("most_repeats", 3.0)
     targets = stage(water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
     slots = mix_slots(rows, targets, **({"block_words": 256, "shard_words": 1 << 24, "seed": 7} | options))
-    span = F.struct("word_from", "words")
-    taken = slots.groupBy(F.col("row").alias("_row"), "epoch").agg(F.sum("words").alias("_taken"), F.array_sort(F.collect_list(span)).alias("_spans"))
-    taken = taken.groupBy("_row").agg(F.collect_list(F.struct("_taken", "_spans")).alias("_epochs"))
-    out = whole.join(taken, "_row").withColumn("_epoch", F.explode("_epochs"))
-    words = F.filter(F.split(text_of(out), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.flatten(F.transform("_epoch._spans", lambda s: F.slice(words, (s["word_from"] + 1).cast("int"), s["words"].cast("int")))), " ")
-    out = out.withColumn("text", F.when(F.col("_epoch._taken") >= F.col("_size"), F.col("text")).otherwise(cut))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    taken = slots.groupBy("row", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("word_from", "words"))).alias("spans"))
+    taken = taken.groupBy("row").agg(F.collect_list(F.struct("taken", "spans")).alias("epochs"))
+    out = whole.join(taken, "row").withColumn("epoch", F.explode("epochs"))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    cut = F.array_join(F.flatten(F.transform("epoch.spans", lambda s: F.slice(words, (s["word_from"] + 1).cast("int"), s["words"].cast("int")))), " ")
+    out = out.withColumn("text", F.when(F.col("epoch.taken") >= F.col("size"), F.col("doc.text")).otherwise(cut))
+    made = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

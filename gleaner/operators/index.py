@@ -12,7 +12,7 @@ import json
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as tx
@@ -72,11 +72,37 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return tokenized(docs).select("doc_id", "title_len", "body_len", F.posexplode("tokens").alias("pos", "token"))
 
 
+def _by_token(tokens: Column) -> Column:
+    """array<struct<token, positions>> of one document: its (token, position) pairs sorted, then cut
+    where the token changes."""
+
+    def let(value: Column, body) -> Column:
+        return F.element_at(F.transform(F.array(value), body), 1)
+
+    def cut(pairs: Column) -> Column:
+        n = F.size(pairs)
+
+        def changes(i: Column) -> Column:
+            return (i == 0) | (F.get(pairs, i)["token"] != F.get(pairs, i - 1)["token"])
+
+        def groups(starts: Column) -> Column:
+            def group(at: Column, k: Column) -> Column:
+                length = F.coalesce(F.get(starts, k + 1), n) - at
+                positions = F.transform(F.slice(pairs, at + 1, length), lambda x: x["pos"])
+                return F.struct(F.get(pairs, at)["token"].alias("token"), positions.alias("positions"))
+
+            return F.transform(starts, group)
+
+        return let(F.filter(F.sequence(F.lit(0), n - 1), changes), groups)
+
+    pairs = F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos"))))
+    return F.when(F.size(tokens) > 0, let(pairs, cut))
+
+
 def postings_of(docs: DataFrame) -> DataFrame:
-    """One row per (token, document). Partial lists are made where a document lies, so one row per posting
-    shuffles, not one per position."""
-    rows = occurrences(docs)
-    return rows.groupBy("token", "doc_id", "title_len", "body_len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """One row per (token, document), grouped within the document's own row: nothing shuffles."""
+    rows = tokenized(docs).select("doc_id", "title_len", "body_len", F.explode(_by_token(F.col("tokens"))).alias("_g"))
+    return rows.select(F.col("_g.token").alias("token"), "doc_id", "title_len", "body_len", F.col("_g.positions").alias("positions"))
 
 
 def dictionary_of(postings: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def index_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> ix.I
     """The index of a table, built once per session and folder and kept."""
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _indexes:
-        rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+        rows = tables.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
         _indexes[key] = ix.build(tables.from_documents(rows) if table == "documents" else tables.from_pages(rows)).persist()
     return _indexes[key]
 

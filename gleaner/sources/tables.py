@@ -21,3 +21,11 @@ def from_pages(pages: DataFrame) -> DataFrame:
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
     body = F.regexp_replace(F.regexp_replace(html, r"(?is)<title[^>]*>.*?</title>", " "), r"<[^>]*>", " ")
     return pages.select(F.col("page_id").alias("doc_id"), "url", title.alias("title"), body.alias("body"))
+
+
+def spread(rows: DataFrame, *, small: int = 256 << 20) -> DataFrame:
+    """Rows over all cores where the files are too few or too small for that: below ``small`` bytes of
+    input, one row group may be all there is. Larger inputs keep their splits and don't shuffle."""
+    spark = rows.sparkSession
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(2 * spark.sparkContext.defaultParallelism) if size < small else rows

@@ -15,9 +15,12 @@ gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -33,36 +36,144 @@ KEY_BITS = 20
 NEIGHBOURS = 8
 END_ID = 1
 #: Words whose ids are kept; beyond that the memory starts afresh.
-MEMO = 400_000
-_odd_blanks = re.compile("[\x1c-\x1f]")
+MEMO = 300_000
+_odd_blanks = re.compile("[\x1c-\x1f]").search
+_simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each Python worker, whatever the number of its tasks."""
+    return Encoder(path)
 
 
 class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, for a tokenizer whose pre-tokenizer never
-    joins across white space: ids of each run without white space are kept and reused."""
+    joins across white space: ids of each run without white space are kept and reused.
+
+    Runs of ASCII and Latin-1 letters are encoded here, all new ones of a block at once, when the
+    tokenizer file holds the pipeline that this class knows (lower case, word ends, no dropout); any
+    other run, and any other tokenizer, goes through the library.
+    """
+
+    _PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
+        self.pieces: dict[str, bytes] = {}
+        spec = json.loads(Path(path).read_text())
+        self.fast = self._known(spec)
+        if self.fast:
+            self._load(spec)
+
+    def _known(self, spec: dict) -> bool:
+        try:
+            steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
+            split, level = spec["pre_tokenizer"]["pretokenizers"]
+            model = spec["model"]
+            return (
+                steps == ["NFC", "Replace", "Lowercase"]
+                and split["pattern"] == {"Regex": self._PIECES}
+                and split["behavior"] == "Removed"
+                and split["invert"]
+                and level["type"] == "ByteLevel"
+                and not level["add_prefix_space"]
+                and not level["use_regex"]
+                and model["type"] == "BPE"
+                and model["end_of_word_suffix"] == "</w>"
+                and not (model["dropout"] or model["continuing_subword_prefix"] or model["ignore_merges"] or model["byte_fallback"])
+                and len(model["vocab"]) < 1 << 16
+            )
+        except (KeyError, TypeError, ValueError):
+            return False
+
+    def _load(self, spec: dict) -> None:
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        # The byte level writes printable bytes as themselves and the others from code point 256 on.
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in plain]
+        letter = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        self.inner = np.array([vocab[letter[b]] for b in range(256)], np.int64)
+        self.final = np.array([vocab[letter[b] + "</w>"] for b in range(256)], np.int64)
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
+        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.ranks = keys[order], order
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+
+    def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def __call__(self, text: str) -> bytes:
-        if _odd_blanks.search(text):  # blank for str.split, not for the tokenizer
-            return self._ids([text])[0]
-        words = text.split()
-        memo = self.memo
-        new = [w for w in set(words) if w not in memo]
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        """Byte pairs of all pieces at once: in each round, every piece merges its lowest-ranked pair."""
+        raw = [p.encode() for p in pieces]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbol, piece = self.inner[data], np.repeat(np.arange(len(raw)), length)
+        last = np.cumsum(length) - 1
+        symbol[last] = self.final[data[last]]
+        never = len(self.keys)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbol):
+            key = symbol[:-1] << 16 | symbol[1:]
+            at = np.minimum(np.searchsorted(self.keys, key), never - 1)
+            rank = np.append(np.where((self.keys[at] == key) & (piece[1:] == piece[:-1]), self.ranks[at], never), never)
+            begin = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
+            size = np.diff(np.r_[begin, len(piece)])
+            best = np.repeat(np.minimum.reduceat(rank, begin), size)
+            over = best == never
+            done.append((piece[over], symbol[over]))
+            hit = (rank == best) & ~over
+            # Of overlapping equal pairs, every other one from the left.
+            where = np.flatnonzero(hit)
+            if len(where):
+                lead = np.r_[True, np.diff(where) > 1]
+                where = where[(where - where[lead][np.cumsum(lead) - 1]) % 2 == 0]
+                symbol[where] = self.made[at[where]]
+                over[where + 1] = True
+            symbol, piece = symbol[~over], piece[~over]
+        piece, symbol = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(piece, kind="stable")
+        ids = symbol[order].astype("<u4").tobytes()
+        ends = (np.cumsum(np.bincount(piece, minlength=len(raw))) * 4).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _learn(self, new: list[str]) -> None:
+        """Adds runs to the memo."""
+        if not self.fast:
+            self.memo.update(zip(new, self._library(new), strict=True))
+            return
+        simple = [w for w in new if _simple(w) and "<|" not in w]
+        if len(simple) < len(new):
+            rest = [w for w in new if not _simple(w) or "<|" in w]
+            self.memo.update(zip(rest, self._library(rest), strict=True))
+        cut = [_pieces(w.lower()) for w in simple]
+        unseen = [p for p in {p for c in cut for p in c} if p not in self.pieces]
+        if unseen:
+            if len(self.pieces) > MEMO:
+                self.pieces.clear()
+                unseen = list({p for c in cut for p in c})
+            self.pieces.update(zip(unseen, self._merge(unseen), strict=True))
+        pieces = self.pieces
+        self.memo.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(simple, cut, strict=True))
+
+    def block(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        split = [t.split() for t in texts]
+        words = set().union(*split)
+        new = words - self.memo.keys()
         if new:
-            if len(memo) > MEMO:
-                memo.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                memo.update(zip(new[i : i + 10_000], self._ids(new[i : i + 10_000]), strict=True))
-        return b"".join(map(memo.__getitem__, words))
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+                new = words
+            self._learn(list(new))
+        memo = self.memo
+        # Characters that are blank for str.split but not for the tokenizer.
+        return [self._library([t])[0] if _odd_blanks(t) else b"".join([memo[w] for w in s]) for t, s in zip(texts, split, strict=True)]
 
 
 def sketches(texts: pa.Array) -> np.ndarray:
@@ -84,9 +195,11 @@ _planes = np.random.default_rng(5).standard_normal((SKETCH, KEY_BITS)).astype(np
 
 def _keyed(batches):
     for batch in batches:
-        bits = sketches(batch["text"]) @ _planes > 0
+        sketch = sketches(batch["text"])
+        bits = sketch @ _planes > 0
         key = bits @ (1 << np.arange(KEY_BITS)[::-1])
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), batch["doc_id"], batch["text"]], ["key", "doc_id", "text"])
+        small = np.round(sketch * 127).astype(np.int8)
+        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), batch["doc_id"], batch["text"], pa.array([x.tobytes() for x in small], pa.binary())], ["key", "doc_id", "text", "sketch"])
 
 
 def walk(vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> list[int]:
@@ -97,19 +210,18 @@ def walk(vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> list[int]:
     near = vectors @ vectors.T
     np.fill_diagonal(near, -2)
     k = min(neighbours, n - 1)
-    best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    edge = np.zeros((n, n), bool)
-    edge[np.arange(n)[:, None], best] = True
-    edge |= edge.T
-    degree = edge.sum(1)
-    links = [np.flatnonzero(row) for row in edge]
-    links = [a[np.argsort(-near[i, a], kind="stable")].tolist() for i, a in enumerate(links)]
+    links: list[set[int]] = [set() for _ in range(n)]
+    for i, best in enumerate(np.argpartition(-near, k - 1, axis=1)[:, :k].tolist()):
+        links[i].update(best)
+        for j in best:
+            links[j].add(i)
+    alike = near.tolist()
     seen, out = [False] * n, []
-    for i in np.argsort(degree, kind="stable").tolist():
+    for i in sorted(range(n), key=lambda i: len(links[i])):
         while not seen[i]:
             seen[i] = True
             out.append(i)
-            i = next((j for j in links[i] if not seen[j]), i)
+            i = max((j for j in links[i] if not seen[j]), key=alike[i].__getitem__, default=i)
     return out
 
 
@@ -171,17 +283,19 @@ def _pack(tokenizer: str, length: int, block_docs: int, block_bytes: int, digest
         return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32" if digest_only else "ids", "doc_tokens", "sequence_id", "offset"])
 
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = _encoder(tokenizer)
         filler = _Filler(length, TaskContext.get().partitionId() << 40)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             for a, b in _words.slices(batch["text"], block_bytes):
                 for c in range(a, b, block_docs):
                     part = batch.slice(c, min(b - c, block_docs))
-                    ids, texts = part["doc_id"].to_pylist(), part["text"]
+                    ids = part["doc_id"].to_pylist()
+                    tokens = encode.block([t or "" for t in part["text"].to_pylist()])
+                    vectors = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
                     rows: list[tuple] = []
-                    for i in walk(sketches(texts)):
-                        rows += filler.add(ids[i], encode(texts[i].as_py() or "") + end)
+                    for i in walk(vectors):
+                        rows += filler.add(ids[i], tokens[i] + end)
                     if rows:
                         yield batch_of(rows)
         if rows := list(filler.end()):
@@ -190,11 +304,11 @@ def _pack(tokenizer: str, length: int, block_docs: int, block_bytes: int, digest
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 32 << 20, block_docs: int = 1024, block_bytes: int = 4 << 20, digest_only: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 32 << 20, block_docs: int = 512, block_bytes: int = 4 << 20, digest_only: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit; with ``digest_only`` their
     CRC-32, ids_crc32), doc_tokens, sequence_id, offset."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, "key int, doc_id long, text string")
+    keyed = rows.mapInArrow(_keyed, "key int, doc_id long, text string, sketch binary")
     ranged = keyed.repartitionByRange(parts_for(size, range_bytes), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
-    return ranged.select("doc_id", "text").mapInArrow(_pack(tokenizer, length, block_docs, block_bytes, digest_only), DIGEST if digest_only else SCHEMA)
+    return ranged.select("doc_id", "text", "sketch").mapInArrow(_pack(tokenizer, length, block_docs, block_bytes, digest_only), DIGEST if digest_only else SCHEMA)

@@ -35,8 +35,8 @@ SKETCH = 64
 KEY_BITS = 20
 NEIGHBOURS = 8
 END_ID = 1
-#: Words whose ids are kept; beyond that the memory starts afresh.
-MEMO = 300_000
+#: Runs and pieces of runs whose ids are kept; beyond that each memory starts afresh.
+MEMO, PIECE_MEMO = 200_000, 300_000
 _odd_blanks = re.compile("[\x1c-\x1f]").search
 _simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 _pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
@@ -154,13 +154,19 @@ class Encoder:
         cut = [_pieces(w.lower()) for w in simple]
         unseen = [p for p in {p for c in cut for p in c} if p not in self.pieces]
         if unseen:
-            if len(self.pieces) > MEMO:
+            if len(self.pieces) > PIECE_MEMO:
                 self.pieces.clear()
                 unseen = list({p for c in cut for p in c})
             self.pieces.update(zip(unseen, self._merge(unseen), strict=True))
         pieces = self.pieces
         self.memo.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(simple, cut, strict=True))
 
+    def forget(self) -> None:
+        """Gives the memory back: the worker may go on to other stages."""
+        self.memo.clear()
+        self.pieces.clear()
+        pa.default_memory_pool().release_unused()
+
     def block(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [t.split() for t in texts]
@@ -300,6 +306,7 @@ def _pack(tokenizer: str, length: int, block_docs: int, block_bytes: int, digest
                         yield batch_of(rows)
         if rows := list(filler.end()):
             yield batch_of(rows)
+        encode.forget()
 
     return run
 

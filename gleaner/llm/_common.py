@@ -7,6 +7,7 @@ import gc
 import math
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,9 +56,12 @@ def stage(df: DataFrame, name: str, *, reclaim: bool = False) -> DataFrame:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's context cleaner delete the files of finished, unreferenced shuffles."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's context cleaner delete the files of finished, unreferenced shuffles. It hears of them
+    when the driver collects garbage, and references to references need another round."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -7,7 +7,7 @@ tasks, each of which keeps a hash's first window and marks the later ones of its
 that a third of all documents share is sent once a slice. Blocks of hashes go to their bucket's task,
 which merge-joins the batch with the runs of that bucket: a hash found in a run started in an earlier
 document; among equals of the batch, all but the first by (doc_id, start) are repeats. Matches are
-verified by a second, independent 32-bit hash of the window's words held beside the first. New hashes
+verified by a second, independent 16-bit hash of the window's words held beside the first. New hashes
 make a new run; when more than ``MAX_RUNS`` runs exist, they are compacted to one.
 
 Marked windows come back as blocks by document bucket, meet the texts there, and the words that they
@@ -26,19 +26,38 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import _words
-from gleaner.llm._common import _delete, free_shuffles, parts_for, shared_dir, stage
+from gleaner.llm._common import _delete, free_shuffles, parts_for, shared_dir
 
 WINDOW = 20
 MAX_RUNS = 4
 NO_ID = -(1 << 63)
 #: Bytes of text whose windows make about one bucket's block of a batch.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 4 << 20
 #: Bytes of text that a map task deduplicates by itself before it sends hashes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def _squeezed(columns: list[np.ndarray]) -> bytes:
+    """Arrays byte plane by byte plane, compressed: planes of zeros and of few values nearly vanish."""
+    raw = b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)
+    return struct.pack("<I", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _restored(block: bytes, kinds: list[tuple[type, int]]) -> list[np.ndarray]:
+    raw = pa.decompress(block[4:], decompressed_size=struct.unpack_from("<I", block)[0], codec="zstd", asbytes=True)
+    at, out = 0, []
+    for kind, n in kinds:
+        size = np.dtype(kind).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(n))
+        at += n * size
+    return out
 
 
 def _pack(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, *more: np.ndarray) -> bytes:
@@ -47,17 +66,25 @@ def _pack(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, *more: np.ndarray
     new[1:] = (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])
     at = np.flatnonzero(new)
     count = np.diff(np.r_[at, len(doc)])
-    columns = [doc[at].astype(np.int64), tie[at].astype(np.int64), count.astype(np.uint32), start.astype(np.uint32), *more]
-    return struct.pack("<II", len(at), len(doc)) + b"".join(c.tobytes() for c in columns)
+    columns = [np.diff(doc[at], prepend=np.int64(0)), tie[at].astype(np.int32), count.astype(np.uint32), start.astype(np.uint32), *more]
+    return struct.pack("<II", len(at), len(doc)) + _squeezed(columns)
 
 
 def _unpack(block: bytes, *more: type) -> list[np.ndarray]:
     docs, n = struct.unpack_from("<II", block)
-    at, out = 8, []
-    for kind, size in ((np.int64, docs), (np.int64, docs), (np.uint32, docs), (np.uint32, n), *((m, n) for m in more)):
-        out.append(np.frombuffer(block, kind, size, at))
-        at += out[-1].nbytes
-    return [np.repeat(out[0], out[2]), np.repeat(out[1], out[2]), *out[3:]]
+    doc, tie, count, *rest = _restored(block[8:], [(np.int64, docs), (np.int32, docs), (np.uint32, docs), (np.uint32, n), *((m, n) for m in more)])
+    return [np.repeat(np.cumsum(doc), count), np.repeat(tie, count), *rest]
+
+
+def _entry_block(h: np.ndarray, check: np.ndarray) -> bytes:
+    """A bucket of a run: sorted hashes as differences, and their second hashes."""
+    return struct.pack("<I", len(h)) + _squeezed([np.diff(h, prepend=np.uint64(0)), check])
+
+
+def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = struct.unpack_from("<I", block)[0]
+    steps, check = _restored(block[4:], [(np.uint64, n), (np.uint16, n)])
+    return np.cumsum(steps), check
 
 
 def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -65,7 +92,13 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _doc_bucket(doc: np.ndarray, doc_buckets: int) -> np.ndarray:
-    return (_words.mixed(doc.astype(np.uint64)) % np.uint64(doc_buckets)).astype(np.int64)
+    return np.mod(doc ^ (doc.view(np.uint64) >> np.uint64(17)).view(np.int64), doc_buckets)
+
+
+def _doc_bucket_column(doc_id: Column, doc_buckets: int) -> Column:
+    """``_doc_bucket`` as a column."""
+    doc = F.coalesce(doc_id, F.lit(NO_ID))
+    return F.pmod(doc.bitwiseXOR(F.shiftrightunsigned(doc, 17)), F.lit(doc_buckets)).cast("int")
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -74,7 +107,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 def _ties(texts: pa.Array) -> np.ndarray:
     """A hash of each text, which orders rows that repeat a doc_id."""
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts.fill_null("").cast(pa.binary()).to_pylist()], np.int64)
+    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True) for t in texts.fill_null("").cast(pa.binary()).to_pylist()], np.int32)
 
 
 def _first_and_later(h, check, doc, tie, start) -> tuple[np.ndarray, np.ndarray]:
@@ -94,20 +127,22 @@ def _hash_windows(window: int, buckets: int, doc_buckets: int):
 
     def run(batches):
         for batch in batches:
-            ids, ties = _ids(batch["doc_id"]), _ties(batch["text"])
+            ids = _ids(batch["doc_id"])
             for a, b in _words.slices(batch["text"], SLICE_BYTES):
-                raw, starts, ends, first = _words.split(batch["text"].slice(a, b - a))
+                texts = batch["text"].slice(a, b - a)
+                ties = _ties(texts)
+                raw, starts, ends, first = _words.split(texts)
                 words = _words.hashes(raw, starts, ends)
                 del raw, ends
                 counts = np.diff(first)
                 owner = np.repeat(np.arange(b - a), counts)
                 h = _words.grams(words, window)
-                check = _words.grams(words ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).astype(np.uint32)
+                check = _words.grams(words ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).astype(np.uint16)
                 inside = owner[: len(h)] == owner[window - 1 :] if len(h) else np.empty(0, bool)
                 at = np.flatnonzero(inside)
                 h, check, owner = h[at], check[at], owner[at]
                 start = (at - first[owner]).astype(np.uint32)
-                doc, tie = ids[a:b][owner], ties[a:b][owner]
+                doc, tie = ids[a:b][owner], ties[owner]
                 order = np.lexsort((start, tie, doc, check, h))
                 again = np.zeros(len(h), bool)
                 again[order] = _first_and_later(h[order], check[order], doc[order], tie[order], start[order])[1]
@@ -133,23 +168,31 @@ def _blocks(kind: int, buckets: int, bucket: np.ndarray, keep: np.ndarray, doc,
     yield pa.RecordBatch.from_pydict({"bucket": pa.array([w % buckets for w in where], pa.int32()), "kind": pa.array([kind] * len(where), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
-def _merge(doc_buckets: int):
+def _history(runs: list[str], bucket: int):
+    """The blocks of one bucket in each run, read where they lie: runs never shuffle again."""
+    for run in runs:
+        files, path = fs.FileSystem.from_uri(f"{run}/bucket={bucket}")
+        if files.get_file_info(path).type != fs.FileType.NotFound:
+            for info in files.get_file_info(fs.FileSelector(path)):
+                if info.path.endswith(".parquet"):
+                    yield from pq.read_table(info.path, filesystem=files, columns=["block"], partitioning=None)["block"].to_pylist()
+
+
+def _merge(doc_buckets: int, runs: list[str]):
     """Reduce side, one bucket: looks the batch up in the runs and in itself. Kind 1 out: marked
     windows by document bucket; kind 2 out: the bucket's new hashes, sorted."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         out_bucket, out_kind, out_block = [], [], []
-        rows, known = [], []
+        rows = []
         for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist(), strict=True):
             if kind == 1:
                 out_bucket.append(struct.unpack_from("<q", block)[0])
                 out_kind.append(1)
                 out_block.append(block[8:])
-            elif kind == 2:
-                known.append(block)
             else:
-                rows.append(_unpack(block, np.uint64, np.uint32))
+                rows.append(_unpack(block, np.uint64, np.uint16))
         if rows:
             doc, tie, start, h, check = (np.concatenate(c) for c in zip(*rows, strict=True))
             del rows
@@ -157,12 +200,10 @@ def _merge(doc_buckets: int):
             h, check, doc, tie, start = h[order], check[order], doc[order], tie[order], start[order]
             first, later = _first_and_later(h, check, doc, tie, start)
             old = np.zeros(len(h), bool)
-            for block in known:
-                n = len(block) // 12
-                kh, kc = np.frombuffer(block, np.uint64, n), np.frombuffer(block, np.uint32, n, 8 * n)
-                at = np.minimum(np.searchsorted(kh, h), max(n - 1, 0))
-                if n:
-                    old |= (kh[at] == h) & (kc[at] == check)
+            for block in _history(runs, bucket):
+                kh, kc = _entries(block)
+                at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
+                old |= (kh[at] == h) & (kc[at] == check)
             marked = old | later
             fresh = first & ~old
             if marked.any():
@@ -174,7 +215,7 @@ def _merge(doc_buckets: int):
             if fresh.any():
                 out_bucket.append(bucket)
                 out_kind.append(2)
-                out_block.append(h[fresh].tobytes() + check[fresh].tobytes())
+                out_block.append(_entry_block(h[fresh], check[fresh]))
         return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "kind": pa.array(out_kind, pa.int32()), "block": pa.array(out_block, pa.binary())})
 
     return run
@@ -182,12 +223,9 @@ def _merge(doc_buckets: int):
 
 def _compact(table: pa.Table) -> pa.Table:
     """One bucket's runs as one sorted run. Runs are disjoint: a run holds only what was new."""
-    parts = table["block"].to_pylist()
-    sizes = [len(p) // 12 for p in parts]
-    h = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(parts, sizes, strict=True)])
-    c = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in zip(parts, sizes, strict=True)])
+    h, c = (np.concatenate(x) for x in zip(*map(_entries, table["block"].to_pylist()), strict=True))
     order = np.argsort(h, kind="stable")
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "kind": pa.array([2], pa.int32()), "block": pa.array([h[order].tobytes() + c[order].tobytes()], pa.binary())})
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "block": pa.array([_entry_block(h[order], c[order])], pa.binary())})
 
 
 BLOCKS = "bucket int, kind int, block binary"
@@ -201,39 +239,37 @@ class FingerprintIndex:
         self.path = f"{shared_dir(spark)}/gleaner/index-{uuid.uuid4().hex}"
         self.runs: list[str] = []
 
-    def _read(self, path: str) -> DataFrame:
-        return self.spark.read.schema(BLOCKS).parquet(path)
-
     def ingest(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """Marked windows of ``batch`` (bucket, block), whose doc_ids must follow all earlier ones.
         ``keep=False`` doesn't add the batch to the index."""
         rows = batch.select("doc_id", batch["text"].cast("string").alias("text")).mapInArrow(_hash_windows(self.window, self.buckets, self.doc_buckets), BLOCKS)
-        for run in self.runs:
-            rows = rows.unionByName(self._read(run))
-        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets), BLOCKS)
-        if not keep:
-            found = found.where("kind = 1")
+        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets, list(self.runs)), BLOCKS)
         path = f"{self.path}/{uuid.uuid4().hex}"
-        found.write.partitionBy("kind").parquet(path)
+        (found if keep else found.where("kind = 1")).write.partitionBy("kind", "bucket").parquet(path)
         del rows, found
         free_shuffles(self.spark)
-        out = self.spark.read.schema(BLOCKS).option("basePath", path).parquet(path)
-        if keep:
-            new = f"{self.path}/run-{uuid.uuid4().hex}"
-            out.where("kind = 2").write.parquet(new)
-            self.runs.append(new)
+        # A batch without windows leaves no such folder.
+        if keep and self._exists(f"{path}/kind=2"):
+            self.runs.append(f"{path}/kind=2")
             if len(self.runs) > MAX_RUNS:
                 self.compact()
-        return out.where("kind = 1").select("bucket", "block")
+        if self._exists(f"{path}/kind=1"):
+            return self.spark.read.schema("block binary, bucket int").parquet(f"{path}/kind=1").select("bucket", "block")
+        return self.spark.createDataFrame([], "bucket int, block binary")
+
+    def _exists(self, path: str) -> bool:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
     def compact(self) -> None:
+        """All runs become one: each bucket's runs are merged by one task."""
         merged = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows = self._read(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self._read(run))
-        rows.groupBy("bucket").applyInArrow(_compact, BLOCKS).write.parquet(merged)
+        rows = None
         for run in self.runs:
-            _delete(self.spark, run)
+            part = self.spark.read.schema("block binary, bucket int").parquet(run).select("bucket", "block")
+            rows = part if rows is None else rows.unionByName(part)
+        rows.groupBy("bucket").applyInArrow(_compact, "bucket int, block binary").write.partitionBy("bucket").parquet(merged)
+        self.drop()
         self.runs = [merged]
 
     def drop(self) -> None:
@@ -248,7 +284,7 @@ def _cut(window: int):
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         blocks = [_unpack(b) for b in marks["block"].to_pylist()]
-        doc, tie, start = (np.concatenate(c) for c in zip(*blocks, strict=True)) if blocks else (np.empty(0, np.int64),) * 3
+        doc, tie, start = (np.concatenate(c) for c in zip(*blocks, strict=True)) if blocks else (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32))
         order = np.lexsort((start, tie, doc))
         doc, tie, start = doc[order], tie[order], start[order].astype(np.int64)
         new = np.ones(len(doc), bool)
@@ -299,12 +335,8 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, batches: int = 2, i
     if own:
         index.drop()
 
-    def placed(batches_):
-        for batch in batches_:
-            where = _doc_bucket(_ids(batch["doc_id"]), doc_buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), batch["doc_id"], batch["text"]], ["bucket", "doc_id", "text"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(placed, "bucket int, doc_id long, text string")
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(_doc_bucket_column(doc_id, doc_buckets).alias("bucket"), doc_id.alias("doc_id"), docs["text"].cast("string").alias("text"))
     cut = _cut(window)
     if not digest_only:
         return rows.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")

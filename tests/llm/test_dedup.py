@@ -115,7 +115,7 @@ def test_near_empty_and_drop(docs, empty):
 
 def substring_brute(rows, window):
     seen, out = set(), Counter()
-    tie = {t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=8).digest(), "little", signed=True) for _, t in rows}
+    tie = {t: int.from_bytes(hashlib.blake2b((t or "").encode(), digest_size=4).digest(), "little", signed=True) for _, t in rows}
     order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1] or ""] if r[1] in tie else tie[None]))
     result = {}
     for i, t in order:

@@ -1,9 +1,11 @@
 """Secret scan with a random forest against false positives (DataFrame functions only).
 
-Candidates are words with a run of 16 or more key characters among which is a digit, runs of 8 or more
-after a word that announces a secret, and private-key blocks. Each gets a row of features: length, kinds
+Candidates are all runs of 16 or more key characters among which is a digit, runs of 8 or more
+after a word that announces a secret or in a word that assigns to such a name, and private-key blocks.
+Runs end at '=' but for base64 padding; a quoted value with '=' inside is a candidate as a whole as well.
+The name that a value is assigned to is no part of it. Each gets a row of features: length, kinds
 of characters and transitions between them, distinct characters, bigrams of natural language, coverage by
-dictionary words, known prefixes, the path or source, and the words before and after. A random forest,
+dictionary words, known prefixes, the assigned name, the path or source, and the words before and after. A random forest,
 trained here on labelled findings, gives the probability that a candidate is a secret. Labelled findings
 are a table (text, path, label) with one candidate in each text; ``labelled_findings`` makes the
 standard set from templates with a seed, and ``train`` takes any other.
@@ -27,9 +29,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import text_of
+from gleaner.llm._common import let, text_of
 
 ANNOUNCE = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)"
+KEY, QUOTES = "A-Za-z0-9+/_~.-", "\"'`"
 PREFIX = r"^(AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk[-_]|pk[-_]|rk_|AIza|eyJ|SG\.|npm_|hf_|dop_v1_)"
 HARMLESS = r"(?i)(commit|checksum|sha1|sha256|md5|digest|revision|uuid|version|build|hash|etag|example|sample|order|invoice|phone|isbn|card)"
 PLACEHOLDER = r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|1234|abcd|0000|test|todo|redacted)"
@@ -40,27 +43,71 @@ WORDS = "able access account action admin after application array async await ba
 FEATURES = ["length", "upper", "lower", "digit", "other", "shifts", "letter_digit", "distinct", "longest_run", "vowels", "bigrams", "covered", "hex", "uuid", "prefix", "padded", "placeholder", "announced", "assigned", "quoted", "harmless", "quiet_path", "words_near"]
 
 
+_CLOSED = rf"(?=[{QUOTES}\\]*(?:$|[,;)\]}}>&|]))"
+_RUN = rf"(?:[{KEY}]{{7,}}+={{1,2}}{_CLOSED}|[{KEY}]{{6}}=={_CLOSED}|[{KEY}]{{8,}}+)"
+#: Groups 1 and 2: the name that a run is assigned to, if any, and the run. A padded value is no name.
+RUN = rf"(?:([{KEY}]++)(?!={{1,2}}{_CLOSED})[^{KEY}=:]*+[=:][^{KEY}]*+(?={_RUN}(?![{QUOTES}\\]*[=:])))?[{QUOTES}]?({_RUN})[{QUOTES}]?"
+#: The same for a whole quoted value with '=' inside.
+QUOTED = rf"(?:([{KEY}]++)[^{KEY}=:]*+[=:][^{KEY}=]*+)?(?<=[{QUOTES}])([{KEY}=]{{8,}}+)[{QUOTES}]"
+_INNER = rf"[{KEY}]=+[{KEY}]"
+_NAME = ANNOUNCE.replace("(?i)", r"(?i)^[\w.-]*") + r"[\w.-]*=*$"
+_ASSIGNS = ANNOUNCE + rf"[\w.-]*[^{KEY}=:]*[=:]"
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """``rows`` (with text and path) by candidate: word_at (-1 for key blocks), value, raw, before, after."""
-    run = r"[A-Za-z0-9+/_=~.-]{8,}"
+    """``rows`` (with text and path) by candidate: word_at (-1 for key blocks), value, raw (the value with its
+    assigned name and quotes), name, and what the words near by say: near_announced, near_assigned,
+    near_harmless, near_words."""
     block = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-    likely = rows.where(F.col("text").rlike(r"[A-Za-z0-9+/_=~.-]{16}|" + block) | F.col("text").rlike(ANNOUNCE))
+    likely = rows.where(F.col("text").rlike(rf"[{KEY}=]{{16}}|" + block) | F.col("text").rlike(ANNOUNCE))
     likely = likely.withColumn("_words", F.split("text", r"[\x20\x09-\x0D]+"))
 
     def near(i: Column, start: int, n: int) -> Column:
         from_ = F.greatest(i + start, F.lit(0))
         return F.array_join(F.slice("_words", from_ + 1, F.when(i + start < 0, F.lit(n) + i + start).otherwise(n).cast("int")), " ")
 
-    numbered = F.transform("_words", lambda w, i: F.struct(i.alias("i"), F.regexp_extract(w, run, 0).alias("value"), w.alias("raw")))
-
-    def wanted(s: Column) -> Column:
-        long = (F.length(s["value"]) >= 16) & s["value"].rlike("[0-9]")
-        said = (s["value"] != "") & near(s["i"], -3, 3).rlike(ANNOUNCE)
-        return long | said | s["raw"].rlike(ANNOUNCE.replace("(?i)", "(?i)^") + r"\w*[=:]") & (s["value"] != "")
-
-    found = F.transform(F.filter(numbered, wanted), lambda s: F.struct(s["i"].alias("word_at"), s["value"].alias("value"), s["raw"].alias("raw"), near(s["i"], -3, 3).alias("before"), near(s["i"], 1, 2).alias("after")))
-    empty = F.lit("")
-    keys = F.transform(F.regexp_extract_all("text", F.lit(block), F.lit(0)), lambda v: F.struct(F.lit(-1).alias("word_at"), v.alias("value"), v.alias("raw"), F.lit("private_key").alias("before"), empty.alias("after")))
+    def runs(w: Column, pattern: str) -> Column:
+        """raw, name, value of every match."""
+        raw, name, value = (F.regexp_extract_all(w, F.lit(pattern), F.lit(k)) for k in range(3))
+        return F.arrays_zip(raw.alias("raw"), name.alias("name"), value.alias("value"))
+
+    def of_word(w: Column) -> Column:
+        """All runs of a word, those that are names of others too, and quoted values with '=' inside."""
+        names = lambda found: F.transform(F.filter(found, lambda c: F.length(c["name"]) >= 8), lambda c: F.struct(c["name"].alias("raw"), F.lit("").alias("name"), c["name"].alias("value")))
+        plain = let(runs(w, RUN), lambda found: F.concat(found, names(found)))
+        whole = F.filter(runs(w, QUOTED), lambda c: c["value"].rlike(_INNER))
+        return F.when(w.rlike(rf"[{QUOTES}][{KEY}=]*{_INNER}"), F.concat(plain, whole)).otherwise(plain)
+
+    def wanted(c: Column, w: Column, said: Column, assigns: Column) -> Column:
+        long = (F.length(c["value"]) >= 16) & c["value"].rlike("[0-9]")
+        bare = F.regexp_replace(c["value"], "=+$", "")
+        followed = F.lit(False)
+        for sign in ("=", ":", '":', "':", '"=', "'=", '\\":'):
+            followed = followed | F.contains(w, F.concat(bare, F.lit(sign)))
+        is_name = (c["name"] == "") & c["value"].rlike(_NAME) & followed
+        return long | (said | assigns | c["name"].rlike(ANNOUNCE)) & ~is_name
+
+    def of(s: Column) -> Column:
+        """The candidates of one word; the words near it are looked at once."""
+        kept = lambda near_: F.filter(of_word(s["w"]), lambda c: wanted(c, s["w"], near_["said"], near_["assigns"]))
+        before, after = near(s["i"], -3, 3), near(s["i"], 1, 2)
+        seen = F.struct(
+            before.rlike(ANNOUNCE).alias("said"),
+            s["w"].rlike(_ASSIGNS).alias("assigns"),
+            before.rlike("[=:]$").alias("assigned"),
+            (before.rlike(HARMLESS) | after.rlike(HARMLESS)).alias("harmless"),
+            F.regexp_count(F.concat_ws(" ", before, after), F.lit(r"\b[a-zA-Z]{3,}\b")).alias("words"),
+        )
+        row = lambda c, n: F.struct(s["i"].alias("word_at"), c["value"].alias("value"), c["raw"].alias("raw"), c["name"].alias("name"), n["said"].alias("near_announced"), n["assigned"].alias("near_assigned"), n["harmless"].alias("near_harmless"), n["words"].alias("near_words"))
+        return let(seen, lambda n: F.transform(kept(n), lambda c: row(c, n)))
+
+    numbered = F.filter(F.transform("_words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda s: s["w"].rlike(rf"[{KEY}=]{{8}}"))
+    found = F.flatten(F.transform(numbered, of))
+    no = F.lit(False)
+    keys = F.transform(
+        F.regexp_extract_all("text", F.lit(block), F.lit(0)),
+        lambda v: F.struct(F.lit(-1).alias("word_at"), v.alias("value"), v.alias("raw"), F.lit("").alias("name"), F.lit(True).alias("near_announced"), no.alias("near_assigned"), no.alias("near_harmless"), F.lit(1).alias("near_words")),
+    )
     return likely.select("*", F.explode(F.concat(found, keys)).alias("_c")).select("*", "_c.*").drop("_c", "_words", "text")
 
 
@@ -91,12 +138,12 @@ def with_features(found: DataFrame) -> DataFrame:
         "prefix": F.col("value").rlike(PREFIX) | F.col("value").startswith("-----BEGIN"),
         "padded": F.col("value").rlike("=+$"),
         "placeholder": F.col("value").rlike(PLACEHOLDER),
-        "announced": F.col("before").rlike(ANNOUNCE) | F.col("raw").rlike(ANNOUNCE),
-        "assigned": F.col("before").rlike("[=:]$") | F.col("raw").rlike("^[A-Za-z_.-]+[=:]"),
+        "announced": F.col("near_announced") | F.col("raw").rlike(ANNOUNCE),
+        "assigned": F.col("near_assigned") | (F.col("name") != ""),
         "quoted": F.col("raw").rlike("[\"'`]"),
-        "harmless": F.col("before").rlike(HARMLESS) | F.col("raw").rlike(HARMLESS) | F.col("after").rlike(HARMLESS),
+        "harmless": F.col("near_harmless") | F.col("raw").rlike(HARMLESS),
         "quiet_path": F.coalesce(F.col("path"), F.lit("")).rlike(QUIET_PATH),
-        "words_near": F.regexp_count(F.concat_ws(" ", "before", "after"), F.lit(r"\b[a-zA-Z]{3,}\b")),
+        "words_near": F.col("near_words"),
     }
     return found.select("*", *[F.coalesce(made[c].cast("double"), F.lit(0.0)).alias(c) for c in FEATURES])
 

@@ -219,10 +219,26 @@ def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
     return tsv.embedding_texts(docs.select(fields.alias("value"))).select("doc_id", "text")
 
 
+def _whole_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A tab-separated line for every document: doc_id, source, lang and the whole text, in which tabs stay and line ends are blanks."""
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "lang", "text")]
+    return docs.select(F.regexp_replace(F.concat_ws("\t", *fields), "[\n\r]", " ").alias("value"))
+
+
+def record_parse_whole(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.parse_records(_whole_lines(spark, d))
+
+
+def embedding_texts_whole(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.embedding_texts(_whole_lines(spark, d))
+
+
 FUNCTIONS: list[Query] = [
     tokenize_documents, stopword_counts, postings_positions, dictionary_df_cf, vocabulary_size, doc_lengths, avg_field_lengths, idf_table, prunable_terms,
     plain_bm25_term, field_tf_split, match_rows, common_term_pruned_empty, hit_total, top10_enriched, pages_title_search, synonym_or_query,
     synonym_not_query, vector_top10, vector_k_nonpositive, vector_truncate_renorm_top10, vector_layernorm, batch_bm25_top10_per_query, record_parse_filter, embedding_texts,
+    record_parse_whole, embedding_texts_whole,
 ]
 
 

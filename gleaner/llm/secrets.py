@@ -58,7 +58,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     """``rows`` (with text and path) by candidate: word_at (-1 for key blocks), value, raw (the value with its
     assigned name and quotes), name, and what the words near by say: near_announced, near_assigned,
     near_harmless, near_words."""
-    block = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
+    begin = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+    block = begin + r"[\s\S]*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
     likely = rows.where(F.col("text").rlike(rf"[{KEY}=]{{16}}|" + block) | F.col("text").rlike(ANNOUNCE))
     likely = likely.withColumn("_words", F.split("text", r"[\x20\x09-\x0D]+"))
 
@@ -105,7 +106,8 @@ def candidates(rows: DataFrame) -> DataFrame:
     found = F.flatten(F.transform(numbered, of))
     no = F.lit(False)
     keys = F.transform(
-        F.regexp_extract_all("text", F.lit(block), F.lit(0)),
+        # A block without end before this one is no part of it.
+        F.transform(F.regexp_extract_all("text", F.lit(block), F.lit(0)), lambda v: F.regexp_replace(v, rf"\A[\s\S]+(?={begin})", "")),
         lambda v: F.struct(F.lit(-1).alias("word_at"), v.alias("value"), v.alias("raw"), F.lit("").alias("name"), F.lit(True).alias("near_announced"), no.alias("near_assigned"), no.alias("near_harmless"), F.lit(1).alias("near_words")),
     )
     return likely.select("*", F.explode(F.concat(found, keys)).alias("_c")).select("*", "_c.*").drop("_c", "_words", "text")
@@ -119,7 +121,6 @@ def with_features(found: DataFrame) -> DataFrame:
     """Adds FEATURES, all doubles."""
     low = F.lower("value")
     n = F.greatest(F.length("value"), F.lit(1))
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
     made = {
         "length": F.log1p(F.length("value")),
         "upper": _share("[A-Z]"),
@@ -131,7 +132,7 @@ def with_features(found: DataFrame) -> DataFrame:
         "distinct": F.size(F.array_distinct(F.split(F.col("value"), ""))) / n,
         "longest_run": F.log1p(F.coalesce(F.array_max(F.transform(F.regexp_extract_all("value", F.lit("[a-z]+|[A-Z]+|[0-9]+"), F.lit(0)), lambda r: F.length(r))), F.lit(0))) / F.log1p(n),
         "vowels": F.regexp_count(low, F.lit("[aeiou]")) / F.greatest(F.regexp_count(low, F.lit("[a-z]")), F.lit(1)),
-        "bigrams": F.size(F.filter(pairs, lambda p: p.isin(*BIGRAMS))) / n,
+        "bigrams": F.regexp_count(low, F.lit("(?=" + "|".join(BIGRAMS) + ")")) / n,
         "covered": 1 - F.length(F.regexp_replace(low, "(" + "|".join(sorted(WORDS, key=len, reverse=True)) + ")", "")) / n,
         "hex": F.col("value").rlike(r"^([0-9a-f]+|[0-9A-F]+)$"),
         "uuid": low.rlike(r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"),

@@ -172,6 +172,18 @@ def test_secret_scan_finds_the_value_of_every_assignment(spark, forest):
     assert {(i, secrets.digest_of(v)) for i, v in [(0, a), (1, b), (2, c), (3, a), (4, b), (6, d)]} <= likely
 
 
+def test_secret_scan_finds_key_blocks_with_headers(spark, forest):
+    body = "MIIEowIBAAKCAQEA7\n" * 3
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{body}-----END RSA PRIVATE KEY-----"
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nComment: a-b\n\n{body}=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    plain = f"-----BEGIN PRIVATE KEY-----\n{body}-----END PRIVATE KEY-----"
+    long = f"-----BEGIN PRIVATE KEY-----\n{'a-b ' * 20_000}-----END PRIVATE KEY-----"
+    texts = [f"x {pem} y", pgp, f"{pem}\n{pgp}", f"-----BEGIN PRIVATE KEY-----\ncut off\n{plain}", long]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), forest).where("word_at = -1").collect()
+    want = [(0, pem), (1, pgp), (2, pem), (2, pgp), (3, plain), (4, long)]
+    assert sorted((r["doc_id"], r["value_sha256"]) for r in out) == sorted((i, secrets.digest_of(v)) for i, v in want)
+
+
 def test_registry():
     names = [n.split("_")[0] for n in queries.queries()]
     assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))

@@ -58,10 +58,10 @@ def stage(df: DataFrame, name: str, *, reclaim: bool = False) -> DataFrame:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's context cleaner delete the files of finished, unreferenced shuffles. It hears of them
     when the driver collects garbage, and references to references need another round."""
-    for _ in range(3):
+    for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+        time.sleep(0.2)
 
 
 def drop_staged(df: DataFrame) -> None:

@@ -65,7 +65,31 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Words of a document, and the letters that lower-casing changes.
+_WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLE = {
+    "op1_substring_dedup": f"""
+        WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        g AS (SELECT doc_id, i, words[i] AS word, CASE WHEN i + 19 <= len(words) THEN array_to_string(words[i:i + 19], ' ') END AS run FROM p),
+        m AS (SELECT doc_id, i, word, CASE WHEN run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, i) > 1 THEN i END AS marked FROM g),
+        c AS (SELECT doc_id, i, word, max(marked) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM m),
+        s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(r, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN s ON w.doc_id = s.doc_id
+    """,
+    "op8_near_dedup": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS words FROM documents),
+        g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 1 THEN words ELSE [words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))] END) AS s FROM w WHERE len(words) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        o AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+        r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+        SELECT c.a AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.a
+    """,
     "op10_exact_dedup": """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents)
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

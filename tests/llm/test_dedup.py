@@ -84,7 +84,7 @@ def near_brute(rows, k, percent=80):
 @pytest.mark.parametrize("shingle", [2, 5])
 def test_near_duplicates(docs, rows, shingle):
     sets, component = near_brute([(r[0], r[1]) for r in rows], shingle)
-    out = near_dedup.near_duplicates(docs, shingle=shingle, block_pairs=7).collect()
+    out = near_dedup.near_duplicates(docs, shingle=shingle, block_shingles=700, most_members=3).collect()
     assert len(out) == len(rows)
     for r in out:
         assert r["n_shingles"] in {len(s) for s in sets[r["doc_id"]]}
@@ -105,6 +105,44 @@ def test_near_links_through_a_chain(spark):
     assert got == component
 
 
+def test_near_ids_with_several_texts(spark):
+    """One doc_id with two texts has the links of both, and ties them together."""
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    text = lambda w, n: " ".join([*w[:-n], *[f"z{n}"] * n] if n else w)
+    rows = [(1, text(a, 0)), (1, text(b, 0)), (2, text(a, 3)), (3, text(b, 4)), (4, text(b, 5)), (4, None), (5, None), (6, text(a, 2)), (6, "x y z")]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), shingle=2, most_members=2).collect()}
+        assert {k[0]: v for k, v in got.items()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 1} and got[4, 0] == 1
+
+
+def test_near_templates_emit_no_pairs(spark, monkeypatch):
+    """Two thousand unlinked documents with one template, and some linked ones among them."""
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(100)]
+    rows = [(i, " ".join(template + [f"w{x}" for x in rng.integers(0, 1 << 30, 25)])) for i in range(2_000)]
+    rows += [(3_000 + i, rows[i][1].rsplit(" ", 3)[0] + " other words here") for i in range(40)]
+    seen = []
+    whole = near_dedup._confirmed
+    monkeypatch.setattr(near_dedup, "_confirmed", lambda pairs, *more: seen.append(pairs.distinct().count()) or whole(pairs, *more))
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), shingle=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: i - 3_000 if i >= 3_000 else i for i, _ in rows}
+    assert seen[1] < 2 * len(rows)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_prefixes_meet(percent):
+    """Any two sets that overlap enough share a shingle of their prefixes for each other's size."""
+    rng = np.random.default_rng(percent)
+    for _ in range(3_000):
+        n = int(rng.integers(1, 120))
+        x = rng.permutation(10_000)[:n]
+        y = np.r_[x[rng.random(n) > rng.random() * 0.2], 10_000 + np.arange(int(rng.integers(0, n // 6 + 1)))]
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= percent * (len(x) + len(y) - both):
+            mine, other = ({(t, low, high) for low, high, k in near_dedup.prefixes(len(s), percent) for t in np.sort(s)[:k].tolist()} for s in (x, y))
+            assert mine & other
+
+
 def test_near_empty_and_drop(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     out = near_dedup.drop_near_duplicates(docs)

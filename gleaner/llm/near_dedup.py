@@ -40,7 +40,7 @@ VALUES = CHUNKS * SPAN
 #: Keys of more members are compared by prefixes of the full sets.
 MOST_MEMBERS = 64
 #: Frequencies of shingles are counted by hash in so many cells; any counts give an exact join.
-CELLS = 1 << 20
+CELLS = 1 << 18
 #: Partner sizes of a prefix differ by this factor at most.
 SIZE_STEP = 1.05
 _multipliers = np.random.default_rng(11).integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,19 +193,19 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
 
 
 def _cell(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(44)).astype(np.int64)
+    return (values >> np.uint64(46)).astype(np.int64)
 
 
 def _counts(shingle: int):
-    """How many sets have a shingle in each cell, as CELLS numbers in rows of 4096."""
+    """(cell, c): how many sets of the partition have a shingle in each cell."""
 
     def run(batches):
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, found in _of_class(batch, shingle):
                 np.add.at(total, _cell(found), 1)
-        for i in np.flatnonzero(total.reshape(-1, 4096).any(1)).tolist():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "counts": pa.array([total[4096 * i : 4096 * (i + 1)]], pa.list_(pa.int64()))})
+        hit = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], ["cell", "c"])
 
     return run
 
@@ -252,10 +252,9 @@ def _prefix_pairs(hot: DataFrame, texts: DataFrame, shingle: int, percent: int)
     """(a, b, na, nb): pairs of ``hot`` classes (id, node, d1, d2, component) of different components whose sets may
     overlap enough: every pair that does is among them."""
     full = hot.join(texts, hot["node"] == texts["doc_id"]).drop("doc_id")
-    sums = full.select("d1", "d2", "text").mapInArrow(_counts(shingle), "part int, counts array<bigint>")
-    sums = sums.select("part", F.posexplode("counts").alias("at", "c")).groupBy("part", "at").agg(F.sum("c").alias("c")).where("c > 1").toArrow()  # at most CELLS rows
+    sums = full.select("d1", "d2", "text").mapInArrow(_counts(shingle), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")).toArrow()  # at most CELLS rows
     counts = np.zeros(CELLS, np.int64)
-    counts[sums["part"].to_numpy() * 4096 + sums["at"].to_numpy()] = sums["c"].to_numpy()
+    counts[sums["cell"].to_numpy()] = sums["c"].to_numpy()
     made = "token long, low int, high int, id long, node long, component long, n long, place long"
     tokens = stage(full.mapInArrow(_prefixed(shingle, percent, counts), made), "prefixes", reclaim=True)
     at = ["token", "low", "high"]
@@ -311,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     if not hot.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(hot, rep_texts, shingle, percent))
     more = _confirmed(pairs, classes, rep_texts, shingle, percent, block_shingles)
-    final = stage(components(links.unionByName(more)), "groups")
+    final = stage(components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)), "groups")
 
     root = classes.join(final.withColumnRenamed("id", "node"), "node", "left").select(*of, F.coalesce("component", "node").alias("component"))
     hit = sketches.drop("signature").join(root, of, "left")

@@ -4,12 +4,12 @@ A document's statistics (lengths, shares of kinds of characters, repetition of w
 lines) are standardized and sent through FEATURES random cosines, which approximate a Gaussian kernel.
 Partitions sum their parts of the normal equations; the sums give the ridge solution on one fold of the
 labelled documents, and pooled adjacent violators on the other fold turn its output into probabilities.
-Fitting uses at most ``_labels.TRAIN_ROWS`` labelled documents; every document is scored over its whole
-text, without its labels, language, source or id.
+Fitting uses at most ``most_rows`` labelled documents (200,000 unless given); every document is scored over its
+whole text, without its labels, language, source or id.
 
 Defined results: null and empty texts have zero statistics and are scored like any other; rows that
-repeat a doc_id are scored each; null labels are left out; without labels every score is 0.5; an empty
-table gives an empty result.
+repeat a doc_id are scored each; a null doc_id is scored and not held out; labels that are null or differ for one
+doc_id are left out; without labels every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _words
-from gleaner.llm._labels import fold_of, training_rows
+from gleaner.llm._labels import TRAIN_ROWS, held_out, training_rows
 
 FEATURES = 512
 RIDGE = 1.0
 SEED = 17
+#: Numbers of a vector that are added up together.
+SLICE = 1 << 13
 
 _kinds = np.zeros((7, 256), bool)
 for _b in range(128):
@@ -121,19 +123,26 @@ class Model:
 
 
 def _sums(rows: DataFrame, size: int, part) -> np.ndarray:
-    """The sum over partitions of the vectors that ``part(batch)`` gives. Only for rows of a bounded
-    sample: each partition sends one vector of ``size`` numbers."""
+    """The sum over partitions of the vectors that ``part(batch)`` gives. Each partition of the sample sends one
+    vector in slices, which are added up by slice on the executors."""
 
     def run(batches):
         total = np.zeros(size)
         for batch in batches:
             for a, b in _words.slices(batch["text"]):
                 total += part(batch.slice(a, b - a))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["i", "v"])
+        for i in range(0, size, SLICE):
+            yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "v": pa.array([total[i : i + SLICE].tobytes()], pa.binary())})
 
-    sums = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+    def added(table: pa.Table) -> pa.Table:
+        # Sorted, so that a rerun adds in the same order.
+        vectors = [np.frombuffer(v) for v in sorted(table["v"].to_pylist())]
+        return pa.table({"i": table["i"].slice(0, 1), "v": pa.array([np.sum(vectors, axis=0).tobytes()], pa.binary())})
+
+    sums = rows.mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(added, "i int, v binary").toArrow()
     out = np.zeros(size)
-    out[sums["i"].to_numpy()] = sums["v"].to_numpy()
+    for i, v in zip(sums["i"].to_pylist(), sums["v"].to_pylist(), strict=True):
+        out[i : i + SLICE] = np.frombuffer(v)
     return out
 
 
@@ -147,11 +156,12 @@ def pooled(output: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[n
             last = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
     w, y, x = np.array(blocks).T
-    return x / w, (y + 0.5 * y.sum() / w.sum()) / (w + 0.5)
+    return x / w, y / w
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    rows = training_rows(docs, labels, label)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", *, most_rows: int = TRAIN_ROWS) -> Model:
+    """A model of ``label`` from at most ``most_rows`` rows of ``labels`` that aren't held out."""
+    rows = training_rows(docs, labels, label, most_rows)
     rng = np.random.default_rng(SEED)
 
     def moments(batch):
@@ -199,7 +209,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, most_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted."""
-    out = score(docs, learn(docs, labels))
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = score(docs, learn(docs, labels, most_rows=most_rows))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

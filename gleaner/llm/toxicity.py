@@ -11,13 +11,13 @@ segments of clean documents. Segments above chance, lambda S > ln(K n), are the
 excess is summed and turned into a probability by a logistic curve fitted on a fold of the labelled
 documents that the units for it didn't see.
 
-At most ``TRAIN_ROWS`` labelled documents (the first by a hash of doc_id) fit the model, and at most
-``MAX_UNITS`` units (the most frequent in toxic documents) are in it, so both can be broadcast. Near
-copies among them share one vote. Every document is scored over its whole text.
+At most ``most_rows`` labelled documents (the first by a hash of doc_id; 200,000 unless given) fit the model.
+That is the only bound: all their units with two toxic votes are in it, so it is bounded by that sample and
+can be broadcast. Near copies among them share one vote. Every document is scored over its whole text.
 
 Defined results: null and wordless texts have no passages and the lowest score; rows that repeat a
-doc_id are scored each; labels that are null are left out; without labels of both kinds all scores
-are 0; an empty table gives an empty result.
+doc_id are scored each; a null doc_id is scored and not held out; labels that are null or differ for one doc_id
+are left out; without labels of both kinds all scores are 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,15 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _words
-from gleaner.llm._labels import fold_of, training_rows
+from gleaner.llm._labels import TRAIN_ROWS, held_out, training_rows
 
-MAX_UNITS = 500_000
 PRIOR = 4.0
 SHIFT = 1.0
 MOST = 6.0
 STEMS = (5, 4)
 #: A unit needs this many votes of toxic documents to be in the model.
 LEAST_VOTES = 2.0
+#: Cells of the histogram of token scores.
+CELLS = 97
 
 
 @dataclass
@@ -116,25 +117,33 @@ def _clean_votes(units: np.ndarray):
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (from, to, score), in order, in linear time."""
-    sums = np.concatenate([[0.0], np.cumsum(scores)])
-    stack: list[list] = []  # (from, to, sum before, sum at the end)
+    """All maximal scoring segments (from, to, score), in order, in linear time: each candidate keeps the place of
+    the last one before it whose sum before is smaller, so a search never walks a link twice."""
     positive = np.flatnonzero(scores > 0)
     if not len(positive):
         return []
+    sums = np.concatenate([[0.0], np.cumsum(scores, dtype=np.float64)])
     breaks = np.flatnonzero(np.diff(positive) > 1)
-    for a, b in zip(positive[np.r_[0, breaks + 1]], positive[np.r_[breaks, len(positive) - 1]] + 1, strict=True):
-        now = [int(a), int(b), sums[a], sums[b]]
+    begin, end = positive[np.r_[0, breaks + 1]], positive[np.r_[breaks, len(positive) - 1]] + 1
+    start: list[int] = []
+    stop: list[int] = []
+    low: list[float] = []  # the sum before a candidate
+    high: list[float] = []  # the sum at its end
+    lower: list[int] = []  # the last candidate before it with a smaller sum before
+    for a, b, before, after in zip(begin.tolist(), end.tolist(), sums[begin].tolist(), sums[end].tolist(), strict=True):
+        j = len(low) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= now[3]:
-                stack.append(now)
+            while j >= 0 and low[j] >= before:
+                j = lower[j]
+            if j < 0 or high[j] >= after:
                 break
-            now = [stack[j][0], now[1], stack[j][2], now[3]]
-            del stack[j:]
-    return [(f, t, float(e - s)) for f, t, s, e in stack]
+            a, before = start[j], low[j]
+            j, size = lower[j], j
+            for kept in (start, stop, low, high, lower):
+                del kept[size:]
+        for kept, value in ((start, a), (stop, b), (low, before), (high, after), (lower, j)):
+            kept.append(value)
+    return [(f, t, e - s) for f, t, s, e in zip(start, stop, low, high, strict=True)]
 
 
 @dataclass
@@ -179,10 +188,11 @@ def _unit_scores(units, up, toxic, clean, balance) -> np.ndarray:
 
 
 def _scores_of(model: Model, kind: str):
-    """Per document: tokens, its best segment's score and a histogram of token scores (kind 'law'), or
-    its evidence (kind 'evidence')."""
+    """Per document: tokens and its best segment's score, and once a partition a histogram of token scores (kind
+    'law'), or its evidence (kind 'evidence')."""
 
     def run(batches):
+        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             for a, b in _words.slices(batch["text"]):
                 t = _tokens(batch["text"].slice(a, b - a))
@@ -190,11 +200,9 @@ def _scores_of(model: Model, kind: str):
                 parts = np.split(s, np.cumsum(t.count)[:-1])
                 columns = {c: batch[c].slice(a, b - a) for c in batch.schema.names if c != "text"}
                 if kind == "law":
-                    columns["n"] = pa.array(t.count, pa.int64())
-                    columns["best"] = pa.array([max((x[2] for x in maximal_segments(p)), default=0.0) for p in parts], pa.float64())
-                    edges = np.linspace(-MOST, MOST, 97)
-                    cell = np.clip(np.searchsorted(edges, s), 0, 96)
-                    columns["histogram"] = pa.array(list(np.bincount(t.owner * 97 + cell, minlength=97 * (b - a)).reshape(-1, 97)), pa.list_(pa.int64()))
+                    best = [max((x[2] for x in maximal_segments(p)), default=0.0) for p in parts]
+                    cells += np.bincount(np.clip(np.searchsorted(np.linspace(-MOST, MOST, CELLS), s), 0, CELLS - 1), minlength=CELLS)
+                    columns = {"n": pa.array(t.count, pa.int64()), "best": pa.array(best, pa.float64()), "histogram": pa.nulls(b - a, pa.list_(pa.int64()))}
                 else:
                     found = [model.passages(p) for p in parts]
                     evidence = np.array([sum(x[2] for x in f) for f in found], float)
@@ -202,6 +210,8 @@ def _scores_of(model: Model, kind: str):
                     columns["score"] = pa.array(model.probability(evidence))
                     columns["passages"] = pa.array([[{"from_word": x, "to_word": y, "excess": z} for x, y, z in f] for f in found], pa.list_(pa.struct([("from_word", pa.int64()), ("to_word", pa.int64()), ("excess", pa.float64())])))
                 yield pa.RecordBatch.from_pydict(columns)
+        if kind == "law":
+            yield pa.RecordBatch.from_pydict({"n": pa.nulls(1, pa.int64()), "best": pa.nulls(1, pa.float64()), "histogram": pa.array([cells], pa.list_(pa.int64()))})
 
     return run
 
@@ -209,13 +219,12 @@ def _scores_of(model: Model, kind: str):
 def _law(model: Model, clean: DataFrame) -> None:
     """Fits lambda and K of ``model`` to clean documents."""
     rows = clean.select("text").mapInArrow(_scores_of(model, "law"), "n long, best double, histogram array<long>")
-    rows = rows.where("n > 0").toArrow()
+    rows = rows.where("n > 0 OR n IS NULL").toArrow()  # two numbers a document of the sample
+    counts = np.sum([h for h in rows["histogram"].to_pylist() if h], axis=0)
+    rows = rows.filter(pc.is_valid(rows["n"]))
     if not len(rows):
         return
-    counts = np.zeros(97)
-    for h in rows["histogram"].to_pylist():
-        counts += h
-    p, s = counts / counts.sum(), np.clip(np.linspace(-MOST, MOST, 97) - MOST / 96, -MOST, MOST)
+    p, s = counts / counts.sum(), np.clip(np.linspace(-MOST, MOST, CELLS) - MOST / (CELLS - 1), -MOST, MOST)
     low, high = 1e-6, 1.0
     if (p[s > 0] > 0).any():
         while (p * np.exp(high * s)).sum() < 1 and high < 64:
@@ -246,12 +255,12 @@ def _logistic(model: Model, evidence: np.ndarray, label: np.ndarray) -> None:
     model.start, model.slope = float(beta[0]), float(max(beta[1], 0.0))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """A model of ``label`` from the rows of ``labels`` that aren't held out."""
-    rows = training_rows(docs, labels, label)
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_rows: int = TRAIN_ROWS) -> Model:
+    """A model of ``label`` from at most ``most_rows`` rows of ``labels`` that aren't held out."""
+    rows = training_rows(docs, labels, label, most_rows)
     votes = rows.where("label = 1").select("text", "fold", "weight").mapInArrow(_toxic_votes, "unit long, up long, t0 double, t2 double")
     votes = votes.groupBy("unit").agg(F.min("up").alias("up"), F.sum("t0").alias("t0"), F.sum("t2").alias("t2"))
-    votes = votes.where(F.col("t0") + F.col("t2") >= LEAST_VOTES).orderBy(F.desc(F.col("t0") + F.col("t2")), "unit").limit(MAX_UNITS).toArrow()
+    votes = votes.where(F.col("t0") + F.col("t2") >= LEAST_VOTES).toArrow()
     sums = {(r["label"], r["fold"]): r["w"] for r in rows.groupBy("label", "fold").agg(F.sum("weight").alias("w")).collect()}
     if not len(votes) or not any(k[0] == 0 for k in sums):
         return Model()
@@ -287,15 +296,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_scores_of(model, "evidence"), "doc_id long, evidence double, score double, passages array<struct<from_word:long,to_word:long,excess:double>>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, passages."""
-    out = score(docs, learn(docs, labels))
-    return out.select("doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
+    out = score(docs, learn(docs, labels, most_rows=most_rows))
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "passages")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without those that score ``threshold`` or more. Texts are scored where they lie."""
-    model, columns = learn(docs, labels), docs.columns
+    model, columns = learn(docs, labels, most_rows=most_rows), docs.columns
 
     def run(batches):
         scored = _scores_of(model, "evidence")

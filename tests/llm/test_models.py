@@ -1,4 +1,6 @@
 import random
+import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -7,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gleaner.llm import quality, queries, secrets, toxicity
+from gleaner.llm import _labels, _words, quality, queries, secrets, toxicity
 
 
 @pytest.fixture(scope="session")
@@ -84,6 +86,63 @@ def test_maximal_segments(scores):
     assert [(a, b) for a, b, _ in toxicity.maximal_segments(s)] == plain_segments(s)
 
 
+def test_a_long_text_of_alternating_scores_is_scanned_once():
+    began = time.perf_counter()
+    assert len(toxicity.maximal_segments(np.tile([1.0, -2.0], 500_000))) == 500_000
+    assert time.perf_counter() - began < 20
+
+
+def test_toxicity_is_what_its_model_says(labelled, docs):
+    """Every score recomputed in plain Python from the model's units, with all segments by their definition."""
+    texts, labels = labelled
+    model = toxicity.learn(texts, labels)
+    weight = dict(zip(model.units.tolist(), model.scores.tolist(), strict=True))
+
+    def unit(s, n):
+        h = _words.hashes(*_words.split(pa.array([s]), blank=toxicity._words.NOT_ALNUM)[:3])[:1]
+        return int((_words.mixed(h ^ np.uint64(n)) if n else h)[0])
+
+    def plain(text):
+        words = re.findall(r"[^\W_]+|[^\x00-\x7f]+", text.lower()) if text.isascii() else None
+        if words is None:
+            return None
+        scores = [next((weight[u] for u in [unit(w, 0), *(unit(w[:n], n) for n in toxicity.STEMS if len(w) > n)] if u in weight), -toxicity.SHIFT) for w in words]
+        least = np.log(max(model.chance * len(scores), 1e-300)) if scores else 0
+        excess = [model.rate * sum(scores[a:b]) - least for a, b in plain_segments(scores)]
+        return float(model.probability(np.array([sum(e for e in excess if e > 0)]))[0])
+
+    sample = texts.where("doc_id % 50 = 0 AND length(text) < 600").union(docs.where("length(text) < 600").select("doc_id", "text"))
+    checked = [(plain(r["text"]), r["score"]) for r in sample.join(toxicity.score(sample, model).withColumnRenamed("doc_id", "id"), F.expr("doc_id = id")).where("text is not null").dropDuplicates(["doc_id"]).collect()]
+    checked = [x for x in checked if x[0] is not None]
+    assert len(checked) > 10 and max(abs(a - b) for a, b in checked) < 1e-4
+
+
+@pytest.mark.parametrize("operator, label", [(toxicity.toxicity, "toxic"), (quality.quality, "quality")])
+def test_odd_rows_and_labels(labelled, spark, operator, label):
+    """Null ids aren't held out, repeated rows are scored alike, and clashing labels of a doc_id teach nothing."""
+    texts, labels = labelled
+    odd = texts.unionByName(spark.createDataFrame([(None, "some words"), (None, None), (3, None), (3, "x"), (3, "x")], texts.schema))
+    first = [(r["doc_id"], r["held_out"], round(r["score"], 9)) for r in operator(odd, labels).collect()]
+    assert len(first) == 905 and all(isinstance(h, bool) for _, h, _ in first)
+    assert [h for i, h, _ in first if i is None] == [False, False]
+    clash = labels.where("doc_id = 7").select("doc_id", *[(1 - F.col(c)).alias(c) for c in ("quality", "toxic")])
+    rows = _labels.training_rows(texts, labels.unionByName(clash).unionByName(labels), label)
+    assert rows.where("doc_id = 7").count() == 0 and rows.count() == _labels.training_rows(texts, labels, label).where("doc_id <> 7").count()
+
+
+def test_quality_is_the_ridge_solution(labelled):
+    """The weights are those of the normal equations over all rows of fold 0, in one place."""
+    texts, labels = labelled
+    model = quality.learn(texts, labels)
+    rows = _labels.training_rows(texts, labels, "quality").where("fold = 0").toPandas()
+    z = model.features(quality.statistics(pa.array(rows["text"])))
+    w = rows["weight"].to_numpy()
+    direct = np.linalg.solve(z.T @ (z * w[:, None]) + quality.RIDGE * np.eye(z.shape[1]), z.T @ (w * rows["label"].to_numpy()))
+    assert np.allclose(direct, model.weights, atol=1e-6)
+    x = np.sort(model.output(quality.statistics(pa.array(rows["text"]))))
+    assert (np.diff(np.interp(x, *model.steps)) >= 0).all()
+
+
 def test_quality(labelled, docs, rows, empty):
     texts, labels = labelled
     out = quality.quality(texts, labels)
@@ -105,8 +164,8 @@ def test_statistics_of_odd_texts():
 def test_pooled():
     rng = np.random.default_rng(9)
     x = rng.random(500)
-    places, values = quality.pooled(x, (rng.random(500) < x).astype(float), np.ones(500))
-    assert (np.diff(places) > 0).all() and (np.diff(values) >= -0.05).all()
+    places, values = quality.pooled(x, (rng.random(500) < x).astype(float), rng.choice([1.0, 0.05], 500))
+    assert (np.diff(places) > 0).all() and (np.diff(values) >= 0).all()
 
 
 def test_training_takes_no_held_out_rows(labelled):

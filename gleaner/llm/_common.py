@@ -39,15 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
-def stage(df: DataFrame, name: str, *, reclaim: bool = False) -> DataFrame:
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which ``release`` deletes."""
+    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, *, by: list[str] | None = None, reclaim: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
-    ``reclaim`` asks the driver to drop shuffle files that nothing refers to any more.
+    ``by`` makes a folder for each value of those columns. ``reclaim`` asks the driver to drop shuffle files
+    that nothing refers to any more.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    path = stage_path(spark, name)
+    df.write.partitionBy(*by or []).parquet(path)
     schema = df.schema
     if reclaim:
         del df

@@ -1,11 +1,13 @@
 """Exact deduplication by two passes over a Bloom filter (DataFrame functions only).
 
-Pass 1 counts, for every cell of a partitioned Bloom filter, how many rows hit it, and keeps
-a bit for each cell hit more than once. Pass 2 tests every row: a row with a cell that no other
-row hits is certainly unique and passes straight through; only the others shuffle and are
-grouped by their full SHA-256. The filter has no false negatives, so results are exact whatever
-its size. Its size is bounded by ``max_filter_bits``; far beyond ``max_filter_bits / 8`` rows it
-fills up, and the step degrades to a plain grouping of digests (never of texts).
+Pass 1 finds, for a Bloom filter whose cells lie in at most REGIONS regions, the cells that more than one row
+hits: each task sends the places hit in a region as one array. Pass 2 tests every row: a row with a
+cell that no other row hits is certainly unique and passes straight through; only the others shuffle
+and are grouped by their full SHA-256. The filter has no false negatives, so results are exact.
+
+A filter has at most ``max_filter_bits``, so that it can be broadcast, and 16 bits a row. Where rows need more,
+they are written in ranges of their digest, without a shuffle, and each range has a filter of its own, one after
+the other: the filter's density is the same at any size.
 
 Defined results: a null text counts as empty; equal doc_ids with equal texts are ordered by an
 internal row number, so exactly one row of a group is kept; a null doc_id is smaller than any
@@ -14,34 +16,50 @@ other; other columns are untouched; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm._common import stage, text_of
+from gleaner.llm._common import parts_for, stage, stage_path, text_of
 
 #: Groups above this share of all rows are joined by broadcast: at most 4096 of them can exist.
 HOT_SHARE = 4096
 HASHES = 2
+ROW_BITS = 16
+REGIONS = 2048
 
 
-def _filter_bits(rows: int, max_filter_bits: int) -> int:
+def _filter_bits(rows: int) -> int:
     bits = 1 << 10
-    while bits < 16 * rows and bits < max_filter_bits:
+    while bits < ROW_BITS * rows:
         bits <<= 1
     return bits
 
 
+def _ranges(rows: int, max_filter_bits: int) -> tuple[int, int]:
+    """How many ranges of digests there are, and the bits of each one's filter."""
+    ranges = parts_for(ROW_BITS * rows, max_filter_bits)
+    return ranges, min(_filter_bits(parts_for(rows, ranges)), max_filter_bits)
+
+
+def _range_of(digest: Column, ranges: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("range"), digest), F.lit(ranges)).cast("int")
+
+
 def _cells(digest: str, bits: int) -> list:
-    """One cell in each of HASHES equal regions of the filter."""
-    region = bits // HASHES
-    return [F.pmod(F.xxhash64(F.lit(i), F.col(digest)), F.lit(region)) + F.lit(i * region) for i in range(HASHES)]
+    """One cell in each of HASHES equal parts of the filter."""
+    part = bits // HASHES
+    return [F.pmod(F.xxhash64(F.lit(i), F.col(digest)), F.lit(part)) + F.lit(i * part) for i in range(HASHES)]
 
 
 def repeat_filter(rows: DataFrame, digest: str, bits: int) -> DataFrame:
     """Words of 64 bits: a bit is set where two or more rows hit the cell. At most bits / 64 rows."""
-    hit = rows.select(F.explode(F.array(*_cells(digest, bits))).alias("cell")).groupBy("cell").count().where("count > 1")
-    bit = F.expr("shiftleft(1L, cast(cell % 64 as int))")
-    return hit.groupBy(F.expr("cell div 64").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    wide = max(64, bits // REGIONS)
+    cells = rows.select(F.explode(F.array(*_cells(digest, bits))).alias("cell"))
+    # A task sends at most REGIONS rows, whatever the number of its rows.
+    regions = cells.groupBy(F.expr(f"cell div {wide}").alias("region")).agg(F.sort_array(F.collect_list(F.expr(f"cast(cell % {wide} as int)"))).alias("places"))
+    again = regions.select("region", F.explode(F.filter("places", lambda x, i: (i > 0) & (x == F.get("places", i - 1)))).alias("place"))
+    cell = F.col("region") * wide + F.col("place")
+    return again.groupBy(F.floor(cell / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
 
 
 def mark_suspects(rows: DataFrame, digest: str, words: DataFrame, bits: int) -> DataFrame:
@@ -56,16 +74,25 @@ def mark_suspects(rows: DataFrame, digest: str, words: DataFrame, bits: int) ->
     return rows.drop(*[f"_{what}{i}" for i in range(HASHES) for what in ("cell", "word", "bits")])
 
 
+def _marked(rows: DataFrame, ranges: int, bits: int) -> DataFrame:
+    """``rows`` (with digest and, in several ranges, _range) with ``_suspect``, staged. Each range meets its own filter."""
+    path = stage_path(rows.sparkSession, "marked")
+    for r in range(ranges):
+        part = rows.where(F.col("_range") == r) if ranges > 1 else rows
+        words = stage(repeat_filter(part, "digest", bits), "filter")
+        mark_suspects(part, "digest", words, bits).write.mode("append").partitionBy("_suspect").parquet(path)
+    fields = rows.schema.add("_suspect", "boolean")
+    return rows.sparkSession.read.schema(fields).parquet(path)
+
+
 def exact_duplicates(docs: DataFrame, *, max_filter_bits: int = 1 << 27) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = stage(
-        docs.select("doc_id", F.unhex(F.sha2(text_of(docs).cast("binary"), 256)).alias("digest"), F.monotonically_increasing_id().alias("row")),
-        "digests",
-    )
-    n = rows.count()
-    bits = _filter_bits(n, max_filter_bits)
-    marked = mark_suspects(rows, "digest", stage(repeat_filter(rows, "digest", bits), "filter"), bits)
-    suspects = stage(marked.where("_suspect").drop("_suspect"), "suspects")
+    n = docs.count()
+    ranges, bits = _ranges(n, max_filter_bits)
+    digest = F.unhex(F.sha2(text_of(docs).cast("binary"), 256))
+    rows = docs.select("doc_id", digest.alias("digest"), F.monotonically_increasing_id().alias("row"), *[_range_of(digest, ranges).alias("_range")] * (ranges > 1))
+    marked = _marked(stage(rows, "digests", by=["_range"] * (ranges > 1)), ranges, bits)
+    suspects = marked.where("_suspect").select("doc_id", "digest", "row")
     groups = stage(
         suspects.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")).where("group_size > 1"),
         "groups",
@@ -89,19 +116,29 @@ def exact_duplicates(docs: DataFrame, *, max_filter_bits: int = 1 << 27) -> Data
 def drop_exact_duplicates(docs: DataFrame, *, max_filter_bits: int = 1 << 27) -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the largest doc_id.
 
-    Whole rows of certainly unique texts stay in their partition; only suspects shuffle.
+    Whole rows of certainly unique texts stay in their partition; only suspects shuffle. In several ranges,
+    whole rows are written by range first and each range is read once more.
     """
+    ranges, bits = _ranges(docs.count(), max_filter_bits)
     digest = F.unhex(F.sha2(text_of(docs).cast("binary"), 256))
-    small = stage(docs.select("doc_id", digest.alias("digest")), "digests")
-    n = small.count()
-    bits = _filter_bits(n, max_filter_bits)
-    words = stage(repeat_filter(small, "digest", bits), "filter")
-    keepers = mark_suspects(small, "digest", words, bits).where("_suspect").groupBy("digest").agg(F.max("doc_id").alias("keep"))
     # A row travels as one column, so that its own columns may have any name.
-    whole = docs.select(F.struct(*docs.columns).alias("doc"), digest.alias("digest"))
-    marked = mark_suspects(whole, "digest", words, bits)
-    alone = marked.where(~F.col("_suspect")).select("doc.*")
-    rest = marked.where("_suspect")
-    kept = (rest["digest"] == keepers["digest"]) & rest["doc.doc_id"].eqNullSafe(keepers["keep"])
-    survivors = rest.join(keepers, kept, "left_semi").dropDuplicates(["digest"])
-    return alone.unionByName(survivors.select("doc.*"))
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), digest.alias("digest"), *[_range_of(digest, ranges).alias("_range")] * (ranges > 1))
+    if ranges > 1:
+        whole = stage(whole, "whole", by=["_range"])
+
+    def survivors(part: DataFrame) -> DataFrame:
+        small = stage(part.select(F.col("doc.doc_id").alias("doc_id"), "digest"), "digests")
+        words = stage(repeat_filter(small, "digest", bits), "filter")
+        keepers = mark_suspects(small, "digest", words, bits).where("_suspect").groupBy("digest").agg(F.max("doc_id").alias("keep"))
+        marked = mark_suspects(part, "digest", words, bits)
+        alone = marked.where(~F.col("_suspect")).select("doc.*")
+        rest = marked.where("_suspect")
+        kept = (rest["digest"] == keepers["digest"]) & rest["doc.doc_id"].eqNullSafe(keepers["keep"])
+        return alone.unionByName(rest.join(keepers, kept, "left_semi").dropDuplicates(["digest"]).select("doc.*"))
+
+    if ranges == 1:
+        return survivors(whole)
+    path = stage_path(docs.sparkSession, "survivors")
+    for r in range(ranges):
+        survivors(whole.where(F.col("_range") == r)).write.mode("append").parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)

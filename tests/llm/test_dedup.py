@@ -43,10 +43,21 @@ def test_exact_duplicates(docs, rows):
         assert r["keep_id"] == max((i for i in ids if i is not None), default=None)
 
 
-@pytest.mark.parametrize("bits", [1 << 10, 1 << 27])
-def test_full_filter_changes_nothing(docs, bits):
-    a = sorted(as_rows(exact_dedup.exact_duplicates(docs, max_filter_bits=bits)), key=str)
+def test_ranges_change_nothing(docs, rows):
+    """With a filter too small for the table, ranges of digests have one each."""
+    assert exact_dedup._ranges(len(rows), 1 << 8)[0] > 2
+    a = sorted(as_rows(exact_dedup.exact_duplicates(docs, max_filter_bits=1 << 8)), key=str)
     assert a == sorted(as_rows(exact_dedup.exact_duplicates(docs)), key=str)
+    kept = [sorted(map(str, as_rows(exact_dedup.drop_exact_duplicates(docs, max_filter_bits=b)))) for b in (1 << 8, 1 << 27)]
+    assert len(kept[0]) == len(kept[1]) and {k.split(",")[0] for k in kept[0]} == {k.split(",")[0] for k in kept[1]}
+
+
+def test_repeat_filter_sets_exactly_the_cells_hit_twice(spark):
+    rows = spark.createDataFrame([(bytes([i % 50]) * 4,) for i in range(70)], "digest binary").repartition(3)
+    bits = 1 << 12
+    hits = Counter(c for r in rows.select(*exact_dedup._cells("digest", bits)).collect() for c in r)
+    got = {64 * r["word"] + b for r in exact_dedup.repeat_filter(rows, "digest", bits).collect() for b in range(64) if r["bits"] >> b & 1}
+    assert got == {c for c, n in hits.items() if n > 1}
 
 
 def test_drop_exact_duplicates(docs, rows, empty):

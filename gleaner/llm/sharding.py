@@ -1,10 +1,10 @@
 """Sharding by Karmarkar-Karp differencing over indivisible groups of equal texts.
 
-Groups above a 4096th of all bytes, at most 4096 by that bound, are differenced first, on the
+Groups above a 4096th of all bytes or of all rows, at most 8192 by those bounds, are differenced first, on the
 driver. All others go to chunks of bounded length by the hash of their digest; each chunk is
 differenced in one task and starts from the heavy groups' partial partition scaled to its share of
 the bytes, so it fills the shards that these left short. Rows join their group's shard by digest;
-rows of heavy groups by broadcast of those at most 4096 digests.
+rows of heavy groups by broadcast of those at most 8192 digests.
 
 Defined results: a null text has no bytes and groups with empty texts; equal doc_ids with equal
 texts share a shard and have slots of their own; a null doc_id comes first; an empty table gives an
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from gleaner.llm._common import parts_for, running_total, stage, text_of
 
 HEAVY_SHARE = 4096
+#: Groups of fewer rows are never heavy by their rows.
+HEAVY_ROWS = 1_000
 
 
 def difference(weights: list[float], shards: int, start: list[float] | None = None) -> list[int]:
@@ -87,9 +89,10 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 8, chunk_groups: int = 50_0
         ),
         "sizes",
     )
-    groups = stage(rows.groupBy("digest").agg(F.sum("size").alias("weight")), "groups")
-    total, n, count = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*")).first() + (rows.count(),)
-    heavy = groups.where(F.col("weight") > total / HEAVY_SHARE).orderBy(F.desc("weight"), "digest").collect()  # < HEAVY_SHARE rows
+    groups = stage(rows.groupBy("digest").agg(F.sum("size").alias("weight"), F.count("*").alias("rows")), "groups")
+    total, n, count = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    is_heavy = (F.col("weight") > total / HEAVY_SHARE) | (F.col("rows") > max(count / HEAVY_SHARE, HEAVY_ROWS))
+    heavy = groups.where(is_heavy).orderBy(F.desc("weight"), "digest").collect()  # < 2 * HEAVY_SHARE rows
     placed = difference([float(g.weight) for g in heavy], shards)
     start = [0.0] * shards
     for g, s in zip(heavy, placed, strict=True):
@@ -103,7 +106,7 @@ def shard_by_bytes(docs: DataFrame, *, shards: int = 8, chunk_groups: int = 50_0
         share = sum(weights) / light_total
         return pa.table({"digest": table["digest"], "shard": pa.array(difference([float(w) for w in weights], shards, [x * share for x in start]), pa.int32())})
 
-    light = groups.where(F.col("weight") <= total / HEAVY_SHARE).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.lit(parts_for(n, chunk_groups))))
+    light = groups.where(~is_heavy).withColumn("chunk", F.pmod(F.xxhash64("digest"), F.lit(parts_for(n, chunk_groups))))
     of_light = light.groupBy("chunk").applyInArrow(one_chunk, "digest binary, shard int")
     marked = rows.join(F.broadcast(of_heavy), "digest", "left")
     rest = marked.where(F.col("shard").isNull()).drop("shard").join(of_light, "digest")

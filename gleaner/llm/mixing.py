@@ -2,12 +2,12 @@
 
 The words of each source, document after document in a hash order, form a stream that is packed
 into blocks of ``block_words``. A source's target number of words is met by whole passes over its
-blocks (epochs) and a part of one more. Every block taken fills one slot of the mix; slots are dealt
-to output shards by a hash, so that a shard's counts by source are a multinomial draw - given each
-source's total, because a free draw would miss a small source's target by the square root of its
-count. Slot numbers pass through a pseudorandom permutation of the source's block numbers (a Feistel
-network over a grid, other keys for each source and epoch), and slots meet blocks in one join on
-(source, block): its keys are even whatever the size of a source.
+blocks (epochs) and a part of one more. Every block taken fills one slot of the mix. First the counts of blocks by
+output shard and source are drawn: multinomial over the shards given each source's total, because a free
+draw would miss a small source's target by the square root of its count. The slots of a shard are the next ones
+of each source, as many as drawn. Slot numbers pass through a pseudorandom permutation of the
+source's block numbers (a Feistel network over a grid, other keys for each source and epoch), and slots meet
+blocks in one join on (source, block): its keys are even whatever the size of a source.
 
 Defined results: a null text has size 0; null is a source of its own, ranked last; documents of
 size 0 and of sources without words take 0 words; repeated rows are rows of their own; an empty
@@ -22,10 +22,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gleaner.llm._common import WORD, parts_for, running_total, stage, text_of
+from gleaner.llm._common import WORD, let, parts_for, running_total, stage, text_of
 
 ROUNDS = 4
-#: A walk out of range meets fewer than sqrt(n) values; each step is out of range with odds below 1 / sqrt(n).
+#: A walk meets each of the fewer than sqrt(n) values out of range once at most, so up to n = 4096 it always ends
+#: in time; beyond, each step is out of range with odds below 1 / 64, and a walk that doesn't end fails the job.
 WALK = 64
 CHUNK = 1 << 15
 MOST_TASKS = 20_000
@@ -71,7 +72,8 @@ def permuted(index: Column, n: Column, key: Column) -> Column:
     def walk(x: Column, _: Column) -> Column:
         return F.when(x < n, x).otherwise(once(x))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(index), walk)
+    ended = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), once(index), walk)
+    return let(ended, lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a permutation left its range: use another seed")).cast("long")))
 
 
 def sized_rows(docs: DataFrame) -> DataFrame:
@@ -89,6 +91,18 @@ def sized_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def drawn_counts(want: DataFrame, shards: int, slots: float, seed: int) -> DataFrame:
+    """The draw: (rank, shard, blocks, first) - how many of a source's slots go to each shard, and the first of them.
+    Each of the source's ``slots`` draws a shard by a hash."""
+    chunks = want.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(CHUNK)))))
+    chunks = chunks.repartition(min(MOST_TASKS, parts_for(slots, CHUNK)), "rank", "chunk")
+    first = F.col("chunk") * F.lit(CHUNK)
+    drawn = chunks.select("rank", F.explode(F.sequence(first, F.least(F.col("slots"), first + F.lit(CHUNK)) - 1)).alias("i"))
+    drawn = drawn.groupBy("rank", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "i"), F.lit(shards)).alias("shard")).agg(F.count("*").alias("blocks"))
+    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return drawn.withColumn("first", F.coalesce(F.sum("blocks").over(before), F.lit(0)))
+
+
 def mix_slots(rows: DataFrame, targets: DataFrame, *, block_words: int, shard_words: int, seed: int) -> DataFrame:
     """The mix: one row for each piece of a document in a slot: shard, slot, rank, epoch, row,
     word_from (in the document) and words. ``rows`` is from ``sized_rows``, ``targets`` from
@@ -119,28 +133,22 @@ def mix_slots(rows: DataFrame, targets: DataFrame, *, block_words: int, shard_wo
         F.floor(F.col("want") / F.col("source_size")).alias("epochs"),
         (F.col("want") % F.col("source_size")).alias("rest"),
     ).withColumn("slots", F.col("epochs") * F.col("per_epoch") + F.ceil(F.col("rest") / span))
-    chunks = want.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / F.lit(CHUNK)))))
-    chunks = chunks.repartition(min(MOST_TASKS, parts_for(total / block_words, CHUNK)), "rank", "chunk")
-    first = F.col("chunk") * F.lit(CHUNK)
-    slots = chunks.withColumn("slot", F.explode(F.sequence(first, F.least(F.col("slots"), first + F.lit(CHUNK)) - 1)))
+    draws = stage(drawn_counts(want, shards, total / block_words, seed), "draws")
+    slots = draws.repartition(min(MOST_TASKS, parts_for(total / block_words, CHUNK)), "rank", "shard")
+    slots = slots.join(want, "rank").withColumn("slot", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("blocks") - 1)))
     slots = slots.withColumn("epoch", F.floor(F.col("slot") / F.col("per_epoch"))).withColumn("at", F.col("slot") % F.col("per_epoch"))
     key = F.xxhash64(F.lit(seed), F.col("rank"), F.col("epoch"))
     block = F.when(F.col("at") < F.col("full"), permuted(F.col("at"), F.col("full"), key)).otherwise(F.col("at"))
     take = F.when(F.col("epoch") < F.col("epochs"), span.cast("long")).otherwise(F.least(span, F.col("rest") - F.col("at") * span))
-    slots = slots.select("rank", "slot", "epoch", block.alias("block"), take.alias("take"), F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "rank", "slot"), F.lit(shards)).alias("shard"))
+    slots = slots.select("rank", "slot", "epoch", block.alias("block"), take.alias("take"), "shard")
 
     # Spark takes the slots for a few rows, as their sources are; neither side is small.
     met = slots.hint("merge").join(pieces, ["rank", "block"]).withColumn("words", F.least(F.col("words"), F.col("take") - F.col("lead"))).where("words > 0")
     return met.select("shard", "slot", "rank", "epoch", "row", "word_from", "words")
 
 
-def shard_counts(slots: DataFrame) -> DataFrame:
-    """The multinomial draw itself: blocks by output shard and source rank."""
-    return slots.groupBy("shard", "rank").agg(F.countDistinct("slot").alias("blocks"))
-
-
 def mix(
-    docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), most_repeats: float = 3.0, block_words: int = 256, shard_words: int = 1 << 24, seed: int = 7
+    docs: DataFrame, *, weights: Sequence[float] = (1, 2, 3), most_repeats: float = 3.0, block_words: int = 256, shard_words: int = 1 << 22, seed: int = 7
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, targets, slots): sized rows, the targets of their sources, and the mix."""
     rows = sized_rows(docs)
@@ -149,11 +157,12 @@ def mix(
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: doc_id, size, source_size, target, taken."""
+    """One row per row of ``docs``: doc_id, size, source_size, target, taken, and the number of output shards that
+    take words of it (shards)."""
     rows, targets, slots = mix(docs, **options)
-    taken = slots.groupBy("row").agg(F.sum("words").alias("_taken"))
+    taken = slots.groupBy("row", "shard").agg(F.sum("words").alias("_taken")).groupBy("row").agg(F.sum("_taken").alias("_taken"), F.count("*").alias("_shards"))
     out = rows.join(targets.withColumnRenamed("source", "_source"), rows["source"].eqNullSafe(F.col("_source"))).join(taken, "row", "left")
-    return out.select("doc_id", "size", F.col("source_size"), "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    return out.select("doc_id", "size", F.col("source_size"), "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("_shards", F.lit(0)).cast("int").alias("shards"))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
@@ -169,7 +178,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rows = whole.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", F.xxhash64(text).alias("tie"))
     weights, repeats = options.pop("weights", (1, 2, 3)), options.pop("most_repeats", 3.0)
     targets = stage(water_fill(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats), "targets")
-    slots = mix_slots(rows, targets, **({"block_words": 256, "shard_words": 1 << 24, "seed": 7} | options))
+    slots = mix_slots(rows, targets, **({"block_words": 256, "shard_words": 1 << 22, "seed": 7} | options))
     taken = slots.groupBy("row", "epoch").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("word_from", "words"))).alias("spans"))
     taken = taken.groupBy("row").agg(F.collect_list(F.struct("taken", "spans")).alias("epochs"))
     out = whole.join(taken, "row").withColumn("epoch", F.explode("epochs"))

@@ -77,11 +77,18 @@ def test_permutation(spark, n):
     assert sorted(r["p"] for r in p) == list(range(n))
 
 
-def test_shard_counts_are_of_all_slots(docs):
+def test_shards_hold_the_counts_drawn(spark, docs):
+    """A multinomial draw by source, and as many slots in each shard of the mix."""
+    want = spark.createDataFrame([(1, 4_000), (2, 40_000), (3, 0)], "rank int, slots long")
+    draws = mixing.drawn_counts(want, 20, 44_000, 5).collect()
+    for rank, slots in ((1, 4_000), (2, 40_000)):
+        mine = sorted((r["shard"], r["blocks"], r["first"]) for r in draws if r["rank"] == rank)
+        assert [m[2] for m in mine] == [sum(x[1] for x in mine[:i]) for i in range(len(mine))] and sum(m[1] for m in mine) == slots
+        chi = sum((m[1] - slots / 20) ** 2 / (slots / 20) for m in mine)
+        assert 4 < chi < 45  # 19 degrees of freedom
     _, _, slots = mixing.mix(docs, block_words=16, shard_words=300)
-    counts = mixing.shard_counts(slots).collect()
-    assert len({r["shard"] for r in counts}) > 3
-    assert sum(r["blocks"] for r in counts) == slots.select("rank", "slot").distinct().count()
+    got = Counter((r["shard"], r["rank"]) for r in slots.select("rank", "slot", "shard").distinct().collect())
+    assert len({s for s, _ in got}) > 3 and max(got.values()) < sum(got.values()) / 3
 
 
 def test_difference():
@@ -111,6 +118,16 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
 
+def test_many_empty_texts_are_a_heavy_group(spark):
+    """Groups of many rows go by broadcast even where they have few bytes."""
+    df = spark.createDataFrame([(i, None if i % 3 else f"text {i} " * 50) for i in range(6_000)], "doc_id long, text string")
+    out = sharding.shard_by_bytes(df).collect()
+    size = Counter()
+    for r in out:
+        size[r["shard"]] += r["size"]
+    assert len(out) == 6_000 and len({r["shard"] for r in out if r["size"] == 1}) == 1 and max(size.values()) - min(size.values()) < 1_000
+
+
 def test_sharding_is_even_but_for_a_huge_group(spark):
     rng = np.random.default_rng(3)
     texts = ["hot" * 100] * 700 + ["x" * int(n) for n in rng.integers(1, 900, 900)]

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What a variance is raised by before its root is divided by.
+EPSILON = 1e-5
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -34,7 +37,7 @@ def l2_normalize(v: Column) -> Column:
     return F.element_at(F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)), 1)
 
 
-def layer_norm(v: Column, eps: float = 1e-5) -> Column:
+def layer_norm(v: Column, eps: float = EPSILON) -> Column:
     """Mean 0 and variance 1 over the whole vector, without weights."""
     v = doubles(v)
     n = F.size(v)

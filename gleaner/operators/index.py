@@ -7,9 +7,13 @@ that a query needs no join), dictionary (document and collection frequency) and
 
 from __future__ import annotations
 
+import atexit
 import datetime as dt
 import json
-from dataclasses import dataclass
+import shutil
+import tempfile
+import uuid
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +24,9 @@ from gleaner.sources import tsv
 
 POSTINGS, DICTIONARY, LENGTHS, DOCUMENTS, MANIFEST = "postings", "dictionary", "doc_lengths", "documents", "manifest.json"
 
+#: Frequencies of tokens that an index remembers.
+MOST_KNOWN = 100_000
+
 
 @dataclass(frozen=True)
 class Stats:
@@ -34,6 +41,8 @@ class Index:
     postings: DataFrame
     dictionary: DataFrame
     doc_lengths: DataFrame
+    path: str = ""
+    _known: dict[str, int] = field(default_factory=dict, repr=False)
 
     @cached_property
     def stats(self) -> Stats:
@@ -42,9 +51,15 @@ class Index:
         return Stats(row["n"], row["avg_title"], row["avg_body"])
 
     def document_frequency(self, tokens: list[str]) -> dict[str, int]:
-        """df of each token, 0 where unknown; reads only these tokens' rows."""
-        found = {r["token"]: r["df"] for r in self.dictionary.where(F.col("token").isin(tokens)).select("token", "df").collect()} if tokens else {}
-        return {t: found.get(t, 0) for t in tokens}
+        """df of each token, 0 where unknown; reads only these tokens' rows, and each token's once."""
+        new = [t for t in tokens if t not in self._known]
+        if new:
+            if len(self._known) > MOST_KNOWN:
+                self._known.clear()
+                new = tokens
+            found = {r["token"]: r["df"] for r in self.dictionary.where(F.col("token").isin(new)).select("token", "df").collect()}
+            self._known.update((t, found.get(t, 0)) for t in new)
+        return {t: self._known[t] for t in tokens}
 
     def persist(self) -> Index:
         """Keeps postings, dictionary and lengths in memory or on local disk."""
@@ -124,25 +139,60 @@ def build(docs: DataFrame, *, check_ids: bool = False) -> Index:
 
 
 def save(index: Index, path: str, *, token_partitions: int | None = None) -> None:
-    """Writes the index as Parquet. Postings and dictionary are range-partitioned and sorted by token, so
-    that a filter on tokens skips files and row groups by their statistics."""
+    """Writes the index as Parquet. Postings and dictionary are range-partitioned and sorted by token, documents
+    by doc_id, so that a filter on either skips files and row groups by their statistics.
+
+    An index without documents is an error, and leaves nothing behind: all is written beside ``path`` and
+    takes its place at the end.
+    """
     spark = index.postings.sparkSession
-    index.documents.write.mode("overwrite").parquet(f"{path}/{DOCUMENTS}")
-    spread = [token_partitions] if token_partitions else []
-    index.postings.repartitionByRange(*spread, "token", "doc_id").sortWithinPartitions("token", "doc_id").write.mode("overwrite").parquet(f"{path}/{POSTINGS}")
-    stored = spark.read.parquet(f"{path}/{POSTINGS}")
-    dictionary_of(stored).sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/{DICTIONARY}")
-    index.doc_lengths.write.mode("overwrite").parquet(f"{path}/{LENGTHS}")
-    count = spark.read.parquet(f"{path}/{DOCUMENTS}").count()
-    if not count:
+    if index.documents.isEmpty():
         raise ValueError("no documents indexed")
-    made = dt.datetime.now(dt.timezone.utc).isoformat()
-    manifest = {"documentCount": count, "tokenCount": spark.read.parquet(f"{path}/{DICTIONARY}").count(), "createdAt": made}
-    _write_text(spark, f"{path}/{MANIFEST}", json.dumps(manifest, indent=2))
+    made = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{made}/{DOCUMENTS}")
+        spread = [token_partitions] if token_partitions else []
+        index.postings.repartitionByRange(*spread, "token", "doc_id").sortWithinPartitions("token", "doc_id").write.parquet(f"{made}/{POSTINGS}")
+        dictionary_of(spark.read.parquet(f"{made}/{POSTINGS}")).repartitionByRange("token").sortWithinPartitions("token").write.parquet(f"{made}/{DICTIONARY}")
+        index.doc_lengths.write.parquet(f"{made}/{LENGTHS}")
+        counts = {"documentCount": DOCUMENTS, "tokenCount": DICTIONARY}
+        manifest = {k: spark.read.parquet(f"{made}/{t}").count() for k, t in counts.items()} | {"createdAt": dt.datetime.now(dt.timezone.utc).isoformat()}
+        _write_text(spark, f"{made}/{MANIFEST}", json.dumps(manifest, indent=2))
+        fs, where = _fs(spark, path)
+        fs.delete(where, True)
+        if not fs.rename(_fs(spark, made)[1], where):
+            raise OSError(f"{made} can't be renamed to {path}")
+    except BaseException:
+        fs, where = _fs(spark, made)
+        fs.delete(where, True)
+        raise
+
+
+_own_dirs: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; only a local master without that setting gets one of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        _own_dirs[app] = tempfile.mkdtemp(prefix="gleaner-index-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
+    return "file://" + _own_dirs[app]
 
 
 def load(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in (DOCUMENTS, POSTINGS, DICTIONARY, LENGTHS)))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in (DOCUMENTS, POSTINGS, DICTIONARY, LENGTHS)), path=path)
+
+
+def delete(spark: SparkSession, index: Index) -> None:
+    """Deletes the folder of a loaded index."""
+    fs, where = _fs(spark, index.path)
+    fs.delete(where, True)
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -150,8 +200,8 @@ def manifest(spark: SparkSession, path: str) -> dict:
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether all four tables were written to the end."""
-    return all(_exists(spark, f"{path}/{t}/_SUCCESS") for t in (DOCUMENTS, POSTINGS, DICTIONARY, LENGTHS))
+    """Whether an index was written there to the end: its manifest comes last."""
+    return _exists(spark, f"{path}/{MANIFEST}")
 
 
 def build_index(spark: SparkSession, data_path: str, out_path: str, limit: int = 0) -> Index:

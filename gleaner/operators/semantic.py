@@ -25,6 +25,14 @@ def prepared(vector: Column, dim: int = DEFAULT_DIM) -> Column:
     return vx.l2_normalize(vx.truncate(vx.layer_norm(vector), dim))
 
 
+def prepared_query(vector: Sequence[float], dim: int = DEFAULT_DIM) -> list[float]:
+    """``prepared`` for the one vector of a query, on the driver."""
+    v = np.asarray(vector, np.float64)
+    v = ((v - v.mean()) / np.sqrt(v.var() + vx.EPSILON))[:dim]
+    norm = np.linalg.norm(v)
+    return (v / norm if norm > 0 else v).tolist()
+
+
 def mean_pooled(states: np.ndarray, mask: np.ndarray) -> np.ndarray:
     """Average of token states where the mask is set; an empty mask gives zeros."""
     weight = mask[..., None].astype(np.float64)
@@ -60,3 +68,8 @@ def embed(docs: DataFrame, encoder: Callable[[list[str]], Sequence[Sequence[floa
 
     raw = rows.mapInArrow(run, "doc_id long, raw array<double>")
     return raw.select("doc_id", prepared(F.col("raw"), dim).cast("array<float>").alias("embedding"))
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Writes (doc_id, embedding), for ``load_vectors``."""
+    vectors.write.mode("overwrite").parquet(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,17 +26,20 @@ SYNONYMS = [("ntea", "worthless", 1), ("ntea", "estion", 2), ("ntea", "os", 3),
 
 
 def index_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> ix.Index:
-    """The index of a table, built once per session and folder and kept."""
+    """The index of a table, written sorted to the shared folder once per session and table, and read from there."""
     key = (spark.sparkContext.applicationId, sf_dir, table)
     if key not in _indexes:
         rows = tables.spread(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
-        _indexes[key] = ix.build(tables.from_documents(rows) if table == "documents" else tables.from_pages(rows)).persist()
+        path = f"{ix.shared_dir(spark)}/index/{table}-{uuid.uuid4().hex}"
+        ix.save(ix.build(tables.from_documents(rows) if table == "documents" else tables.from_pages(rows)), path)
+        _indexes[key] = ix.load(spark, path)
     return _indexes[key]
 
 
 def forget(spark: SparkSession) -> None:
+    """Deletes the indexes that this session wrote."""
     for key in [k for k in _indexes if k[0] == spark.sparkContext.applicationId]:
-        _indexes.pop(key).unpersist()
+        ix.delete(spark, _indexes.pop(key))
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,39 +210,34 @@ def batch_bm25_top10_per_query(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def record_parse_filter(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    fields = F.concat_ws("\t", F.col("doc_id").cast("string"), "source", "lang", F.when(F.col("doc_id") % 7 != 0, F.concat_ws("\t", F.lit("a"), F.substring("text", 1, 5), F.lit("b"))))
-    parsed = tsv.parse_records(docs.select(F.regexp_replace(fields, "[\n\r]", " ").alias("value")))
-    return parsed.select("doc_id", "url", "title", "body")
-
-
-def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    fields = F.concat_ws("\t", F.when(F.col("doc_id") % 5 == 0, F.lit("bad")).otherwise(F.col("doc_id").cast("string")), "source", F.when(F.col("doc_id") % 3 == 0, F.concat_ws("\t", "lang", F.lit("x"), F.lit("y"))))
-    return tsv.embedding_texts(docs.select(fields.alias("value"))).select("doc_id", "text")
-
-
-def _whole_lines(spark: SparkSession, d: str) -> DataFrame:
+def _lines(spark: SparkSession, d: str) -> DataFrame:
     """A tab-separated line for every document: doc_id, source, lang and the whole text, in which tabs stay and line ends are blanks."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     fields = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "source", "lang", "text")]
     return docs.select(F.regexp_replace(F.concat_ws("\t", *fields), "[\n\r]", " ").alias("value"))
 
 
-def record_parse_whole(spark: SparkSession, d: str) -> DataFrame:
-    return tsv.parse_records(_whole_lines(spark, d))
+def record_parse_filter(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.parse_records(_lines(spark, d))
+
+
+def embedding_texts(spark: SparkSession, d: str) -> DataFrame:
+    return tsv.embedding_texts(_lines(spark, d))
 
 
-def embedding_texts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return tsv.embedding_texts(_whole_lines(spark, d))
+def documents_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """A lookup of known ids, smallest and largest among them; unknown ones are skipped."""
+    index = index_of(spark, d)
+    low, high = index.documents.agg(F.min("doc_id"), F.max("doc_id")).first()
+    wanted = [low, (low + high) // 2, high, high + 1]
+    return ix.lookup(index, wanted).select("doc_id", "url", "title", F.length("body").cast("long").alias("body_chars"))
 
 
 FUNCTIONS: list[Query] = [
     tokenize_documents, stopword_counts, postings_positions, dictionary_df_cf, vocabulary_size, doc_lengths, avg_field_lengths, idf_table, prunable_terms,
     plain_bm25_term, field_tf_split, match_rows, common_term_pruned_empty, hit_total, top10_enriched, pages_title_search, synonym_or_query,
     synonym_not_query, vector_top10, vector_k_nonpositive, vector_truncate_renorm_top10, vector_layernorm, batch_bm25_top10_per_query, record_parse_filter, embedding_texts,
-    record_parse_whole, embedding_texts_whole,
+    documents_by_id,
 ]
 
 
@@ -258,6 +257,9 @@ def oracle_sql() -> dict[str, str]:
     vector_sql = f"SELECT vec_id, round({dot.format('embedding', vector)}, 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10"
     mean = "list_avg(embedding::double[])"
     match_sql = "SELECT doc_id, token, f::BIGINT AS frequency, tf::BIGINT AS tf_title, bf::BIGINT AS tf_body FROM ({0})"
+    line = "translate(coalesce(text, ''), chr(10) || chr(13), '  ')"
+    blanks = " || ".join(f"chr({c})" for c in [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+    end = f"rtrim({line}, {blanks})"
     out = {name: sql.top(q) for name, q in SEARCHES.items()}
     out |= {
         "tokenize_documents": f"{p} SELECT doc_id, tl::BIGINT AS title_len, bl::BIGINT AS body_len, p::BIGINT AS pos, token FROM pos",
@@ -288,7 +290,8 @@ def oracle_sql() -> dict[str, str]:
             s AS (SELECT query_id, doc_id, sum({sql.bm25('tf', 'bf', 'weight')}) AS score FROM w JOIN f USING (token), st GROUP BY query_id, doc_id),
             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s)
             SELECT query_id, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= 10""",
-        "record_parse_filter": "SELECT doc_id, source AS url, lang AS title, 'a' || chr(9) || translate(text[1:5], chr(10) || chr(13), '  ') || chr(9) || 'b' AS body FROM documents WHERE doc_id % 7 <> 0",
-        "embedding_texts": "SELECT doc_id, 'search_document: ' || source || CASE WHEN doc_id % 3 = 0 THEN '' ELSE '' END AS text FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'search_document: ' || lang || ' x y' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0",
+        "record_parse_filter": f"SELECT doc_id, coalesce(source, '') AS url, coalesce(lang, '') AS title, {line} AS body FROM documents",
+        "embedding_texts": f"SELECT doc_id, 'search_document: ' || CASE WHEN {end} = '' THEN coalesce(source, '') || ' ' || coalesce(lang, '') ELSE coalesce(lang, '') || ' ' || replace({end}, chr(9), ' ') END AS text FROM documents",
+        "documents_by_id": f"WITH {sql.DOCUMENTS}, b AS (SELECT min(doc_id) AS l, max(doc_id) AS h FROM src) SELECT doc_id, url, title, length(body) AS body_chars FROM src, b WHERE doc_id IN (l, (l + h) // 2, h)",
     }
     return out

@@ -1,9 +1,10 @@
 import pytest
 from corpus import rows
 
-from gleaner.__main__ import arguments, respond
+from gleaner.__main__ import arguments, generate, respond, synonym_table
 from gleaner.operators import answers
 from gleaner.operators import index as ix
+from gleaner.sources import tsv
 
 
 def test_lines_are_answered(spark):
@@ -19,6 +20,21 @@ def test_arguments():
     assert (args.limit, args.buildindex, args.query) == (5, True, None)
 
 
+def test_generated_queries_and_synonyms(spark, tmp_path):
+    (tmp_path / "c.tsv").write_text("".join(f"{i}\tu\talpha beta\tgamma delta epsilon word{i}\n" for i in range(9)))
+    args = arguments(["--data", str(tmp_path / "c.tsv"), "--genqueries", "25", "--out", str(tmp_path / "q")])
+    assert generate(spark, args) == tsv.load_queries(spark, str(tmp_path / "q"))
+    with pytest.raises(SystemExit):
+        arguments(["--genqueries", "3"])
+    with pytest.raises(SystemExit):
+        arguments([])
+    (tmp_path / "s.tsv").write_text("one\ttwo\t1\n")
+    index = ix.build(spark.createDataFrame([(1, "", "", "two three")], "doc_id long, url string, title string, body string"))
+    said = []
+    respond(index, ["one"], said.append, synonym_table(spark, str(tmp_path / "s.tsv")))
+    assert said[-1].startswith("1 hits")
+
+
 def test_answers():
     asked = {}
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from corpus import Evaluator, rows
 from pyspark.sql import functions as F
@@ -177,6 +178,56 @@ def test_semantic_errors_leave_the_lexical_answer(spark, index):
     assert response.total == 11 and response.semantic is None
 
 
+def test_semantic_errors_of_the_run_leave_the_lexical_answer(spark, index):
+    """A vector that can't be read shows only when the job runs."""
+    vectors = spark.createDataFrame([(1001, [1.0] * 4)], "doc_id long, embedding array<float>").withColumn("embedding", F.when(F.col("doc_id") < 0, F.col("embedding")).otherwise(F.raise_error(F.lit("broken")).cast("array<float>")))
+    response = sx.search(index, "limitterm", vectors=vectors, encoder=lambda q: [1.0, 2.0, 3.0, 4.0])
+    assert response.total == 11 and response.semantic is None
+    answer = sx.as_json(index, "limitterm", vectors=vectors, encoder=lambda q: [1.0, 2.0, 3.0, 4.0])
+    assert answer["total"] == 11 and answer["semantic_results"] is None and len(answer["bm25_results"]) == 10
+
+
+def test_the_query_vector_is_prepared_as_documents_are(spark, index):
+    asked = []
+
+    def encoder(text):
+        asked.append(text)
+        return [3.0, 1.0, 2.0, 9.0]
+
+    raw = spark.createDataFrame([(1001, [3.0, 1.0, 2.0, 9.0]), (1002, [9.0, 1.0, 2.0, 3.0])], "doc_id long, embedding array<double>")
+    vectors = raw.select("doc_id", semantic.prepared(F.col("embedding"), 2).alias("embedding"))
+    best = sx.search(index, "limitterm", vectors=vectors, encoder=encoder, dim=2).semantic.collect()
+    assert asked == ["search_query: limitterm"] and best[0]["doc_id"] == 1001 and best[0]["score"] == pytest.approx(1)
+    assert semantic.prepared_query([3.0, 1.0, 2.0, 9.0], 2) == pytest.approx(list(vectors.where("doc_id = 1001").first()["embedding"]))
+    assert semantic.prepared_query([2.0, 2.0]) == [0.0, 0.0]
+    states = np.arange(12, dtype=float).reshape(2, 3, 2)
+    assert semantic.mean_pooled(states, np.array([[1, 1, 0], [0, 0, 0]])).tolist() == [[1.0, 2.0], [0.0, 0.0]]
+
+
+def test_a_build_without_documents_leaves_nothing(spark, tmp_path):
+    (tmp_path / "none.tsv").write_text("short\tline\n")
+    (tmp_path / "docs.tsv").write_text("1\tu\talpha\tbeta\n")
+    out = str(tmp_path / "index")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="no documents indexed"):
+            ix.ensure_index(spark, str(tmp_path / "none.tsv"), out)
+    assert ix.ensure_index(spark, str(tmp_path / "docs.tsv"), out).stats.documents == 1
+    with pytest.raises(ValueError, match="no documents indexed"):
+        ix.build_index(spark, str(tmp_path / "none.tsv"), out)
+    assert ix.load(spark, out).stats.documents == 1 and [p.name for p in tmp_path.iterdir() if ".new-" in p.name] == []
+
+
+def test_lookups_and_hits_are_pushed_down(spark, tmp_path):
+    ix.save(ix.build(spark.createDataFrame(rows(), SCHEMA)), str(tmp_path / "index"))
+    index = ix.load(spark, str(tmp_path / "index"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "In(doc_id" in plan(sx.enrich(sx.search(index, "limitterm").bm25, index.documents))
+    assert "In(token" in plan(sx.hits(index, "notcat and not notdog"))
+    assert sorted(r["doc_id"] for r in ix.lookup(index, [1001, 77, 1002]).collect()) == [1001, 1002]
+    semantic.save_vectors(spark.createDataFrame([(1, [1.0])], "doc_id long, embedding array<float>"), str(tmp_path / "v"))
+    assert semantic.load_vectors(spark, str(tmp_path / "v")).count() == 1
+
+
 def test_workload():
     docs = ["alpha beta gamma delta epsilon", "one two three four five six", "tiny"]
     assert workload.generate(docs, 30) == workload.generate(docs, 30) and len(workload.generate(docs, 30)) == 30

@@ -29,7 +29,7 @@ def folders(folder):
 def test_every_document_is_parsed_whole(spark, folder):
     for d in folders(folder):
         want = Counter((int(i), u, t, b) for i, u, t, b in (line.split("\t", 3) for line in plain_lines(spark, d)))
-        assert Counter(map(tuple, registry.queries()["record_parse_whole"](spark, d).collect())) == want
+        assert Counter(map(tuple, registry.queries()["record_parse_filter"](spark, d).collect())) == want
 
 
 def test_every_document_gets_its_whole_embedding_text(spark, folder):
@@ -38,7 +38,7 @@ def test_every_document_gets_its_whole_embedding_text(spark, folder):
         for line in plain_lines(spark, d):
             f = line.strip().split("\t")
             want[int(f[0]), "search_document: " + (f[2] + " " + " ".join(f[3:]) if len(f) >= 4 else " ".join(f[1:]))] += 1
-        assert Counter(map(tuple, registry.queries()["embedding_texts_whole"](spark, d).collect())) == want
+        assert Counter(map(tuple, registry.queries()["embedding_texts"](spark, d).collect())) == want
 
 
 def test_malformed_rows(spark):

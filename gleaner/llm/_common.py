@@ -84,10 +84,15 @@ def release(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path``, and ``path`` as it wants it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    files, where = file_system(spark, path)
+    files.delete(where, True)
 
 
 def parts_for(total: float, each: float) -> int:

@@ -27,8 +27,8 @@ _lower[65:91] += 32
 
 
 @cache
-def _byte_codes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+def _byte_codes(seed: int = 20240229) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 _powers: list[np.ndarray] = []
@@ -84,11 +84,11 @@ def split(texts: pa.Array, lower: bool = False, blank: np.ndarray = _space) -> t
     return raw, starts, ends, np.searchsorted(starts, at)
 
 
-def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 20240229) -> np.ndarray:
+    """A 64-bit hash of each word; another ``seed`` gives an independent one."""
     up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_codes()[raw] * up[: len(raw)], out=sums[1:])
+    np.cumsum(_byte_codes(seed)[raw] * up[: len(raw)], out=sums[1:])
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

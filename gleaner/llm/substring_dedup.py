@@ -3,12 +3,17 @@
 A window is ``WINDOW`` consecutive words of one document. Documents are taken in batches of ascending
 doc_id. The index is a list of immutable runs; a run holds, for every bucket (a range of window hashes),
 the sorted distinct hashes of the windows of one or more batches. A new batch is hashed in the map
-tasks, each of which keeps a hash's first window and marks the later ones of its own slice, so a window
-that a third of all documents share is sent once a slice. Blocks of hashes go to their bucket's task,
-which merge-joins the batch with the runs of that bucket: a hash found in a run started in an earlier
-document; among equals of the batch, all but the first by (doc_id, start) are repeats. Matches are
-verified by a second, independent 16-bit hash of the window's words held beside the first. New hashes
-make a new run; when more than ``MAX_RUNS`` runs exist, they are compacted to one.
+tasks, each of which keeps a hash's first window and marks the later ones of its own slice, and of earlier slices
+where a hash has repeated before, so a window that a third of all documents share is sent about once a task. Blocks
+of hashes meet the runs' blocks of their bucket, where the batch is merge-joined with every run: a
+hash found in a run started in an earlier document; among equals of the batch, all but the first by (doc_id,
+start) are repeats. Matches are verified by 32 bits of an independent hash, from the window's bytes on,
+held beside the 64 bits of the first. New hashes make a new run; when more than ``MAX_RUNS`` runs exist, they are
+compacted to one.
+
+An index lives in its folder: a manifest names its runs and is replaced when a run is complete, so ``open`` finds
+the index as of the last whole batch, in this session or a later one. Runs are plain Parquet tables of a
+bounded number of files, read by Spark, in any file system that it knows.
 
 Marked windows come back as blocks by document bucket, meet the texts there, and the words that they
 cover go. Windows are judged on the input, not on what is left.
@@ -21,26 +26,30 @@ wholly equal count as one; a null doc_id comes before any other; an empty table
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as fs
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import _words
-from gleaner.llm._common import _delete, free_shuffles, parts_for, shared_dir
+from gleaner.llm._common import _delete, file_system, free_shuffles, parts_for, stage_path
 
 WINDOW = 20
 MAX_RUNS = 4
+#: The query takes its table in so many batches: enough for runs to be compacted on the way.
+BATCHES = 6
 NO_ID = -(1 << 63)
 #: Bytes of text whose windows make about one bucket's block of a batch.
 BUCKET_BYTES = 4 << 20
 #: Bytes of text that a map task deduplicates by itself before it sends hashes.
 SLICE_BYTES = 2 << 20
+#: Repeated hashes that a map task remembers between slices.
+MOST_HOT = 200_000
+CHECK_SEED = 77
 
 
 def _squeezed(columns: list[np.ndarray]) -> bytes:
@@ -77,13 +86,13 @@ def _unpack(block: bytes, *more: type) -> list[np.ndarray]:
 
 
 def _entry_block(h: np.ndarray, check: np.ndarray) -> bytes:
-    """A bucket of a run: sorted hashes as differences, and their second hashes."""
+    """A bucket of a run: sorted hashes as differences, and their checks."""
     return struct.pack("<I", len(h)) + _squeezed([np.diff(h, prepend=np.uint64(0)), check])
 
 
 def _entries(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = struct.unpack_from("<I", block)[0]
-    steps, check = _restored(block[4:], [(np.uint64, n), (np.uint16, n)])
+    steps, check = _restored(block[4:], [(np.uint64, n), (np.uint32, n)])
     return np.cumsum(steps), check
 
 
@@ -110,6 +119,16 @@ def _ties(texts: pa.Array) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little", signed=True) for t in texts.fill_null("").cast(pa.binary()).to_pylist()], np.int32)
 
 
+def _sorted(h, check, doc, tie, start) -> np.ndarray:
+    """The order by (h, check, doc, tie, start). Few hashes repeat, so only those are ordered by all."""
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    many = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    of = order[many]
+    order[many] = of[np.lexsort((start[of], tie[of], doc[of], check[of], h[of]))]
+    return order
+
+
 def _first_and_later(h, check, doc, tie, start) -> tuple[np.ndarray, np.ndarray]:
     """Of sorted windows: which are the first with their hashes, and which start later than that
     one. Rows that are wholly equal share their places, so they are neither."""
@@ -121,31 +140,82 @@ def _first_and_later(h, check, doc, tie, start) -> tuple[np.ndarray, np.ndarray]
     return first, (doc != doc[lead]) | (tie != tie[lead]) | (start != start[lead])
 
 
+def _found(kh: np.ndarray, kc: np.ndarray, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The place of each (h, check) among sorted hashes and their checks, -1 where there is none. A hash may
+    have several checks."""
+    at, end = np.searchsorted(kh, h, "left"), np.searchsorted(kh, h, "right")
+    place = np.full(len(h), -1)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        hit = kc[at[left]] == check[left]
+        place[left[hit]] = at[left[hit]]
+        at[left] += 1
+        left = left[~hit & (at[left] < end[left])]
+    return place
+
+
+class _Hot:
+    """Hashes that have repeated in a map task, each with the first of its windows so far."""
+
+    def __init__(self) -> None:
+        self.columns = [np.empty(0, k) for k in (np.uint64, np.uint32, np.int64, np.int32, np.uint32)]
+
+    def later(self, h, check, doc, tie, start) -> np.ndarray:
+        """Which windows start later than a window already sent."""
+        kh, kc, kd, kt, ks = self.columns
+        place = _found(kh, kc, h, check)
+        out = place >= 0
+        p = place[out]
+        d, t, s = doc[out], tie[out], start[out]
+        out[out] = (d > kd[p]) | (d == kd[p]) & ((t > kt[p]) | (t == kt[p]) & (s > ks[p]))
+        return out
+
+    def add(self, *windows: np.ndarray) -> None:
+        """Takes in windows that were sent."""
+        columns = [np.concatenate(c) for c in zip(self.columns, windows, strict=True)]
+        order = _sorted(*columns)
+        columns = [c[order] for c in columns]
+        first = _first_and_later(*columns)[0]
+        self.columns = [c[first][:MOST_HOT] for c in columns]
+
+
 def _hash_windows(window: int, buckets: int, doc_buckets: int):
     """Map side: (bucket, kind, block). Kind 0: hashes to look up. Kind 1: windows already marked,
     with the document bucket in front."""
 
     def run(batches):
+        hot = _Hot()
         for batch in batches:
             ids = _ids(batch["doc_id"])
             for a, b in _words.slices(batch["text"], SLICE_BYTES):
                 texts = batch["text"].slice(a, b - a)
-                ties = _ties(texts)
+                ties, mine = _ties(texts), ids[a:b]
+                turn = np.lexsort((ties, mine))
+                texts, ties, mine = texts.take(pa.array(turn)), ties[turn], mine[turn]
+                # Windows in the order of (doc, tie, start) from here on.
                 raw, starts, ends, first = _words.split(texts)
-                words = _words.hashes(raw, starts, ends)
+                words, other = _words.hashes(raw, starts, ends), _words.hashes(raw, starts, ends, CHECK_SEED)
                 del raw, ends
                 counts = np.diff(first)
                 owner = np.repeat(np.arange(b - a), counts)
                 h = _words.grams(words, window)
-                check = _words.grams(words ^ np.uint64(0xA5A5A5A5A5A5A5A5), window).astype(np.uint16)
                 inside = owner[: len(h)] == owner[window - 1 :] if len(h) else np.empty(0, bool)
                 at = np.flatnonzero(inside)
-                h, check, owner = h[at], check[at], owner[at]
+                h, check, owner = h[at], (_words.grams(other, window) >> np.uint64(32)).astype(np.uint32)[at], owner[at]
                 start = (at - first[owner]).astype(np.uint32)
-                doc, tie = ids[a:b][owner], ties[owner]
-                order = np.lexsort((start, tie, doc, check, h))
+                doc, tie = mine[owner], ties[owner]
+                order = _sorted(h, check, doc, tie, start)
+                columns = [c[order] for c in (h, check, doc, tie, start)]
+                lead, later = _first_and_later(*columns)
                 again = np.zeros(len(h), bool)
-                again[order] = _first_and_later(h[order], check[order], doc[order], tie[order], start[order])[1]
+                again[order] = later
+                again |= hot.later(h, check, doc, tie, start)
+                # A hash that repeats here is hot from now on, by its first window if that is sent.
+                repeats = lead & np.r_[~lead[1:], False] if len(h) else lead
+                new = order[repeats]
+                new = new[~again[new]]
+                if len(new):
+                    hot.add(h[new], check[new], doc[new], tie[new], start[new])
                 yield from _blocks(1, buckets, _doc_bucket(doc, doc_buckets), again, doc, tie, start)
                 yield from _blocks(0, buckets, _bucket_of(h, buckets), ~again, doc, tie, start, h, check)
 
@@ -153,11 +223,11 @@ def _hash_windows(window: int, buckets: int, doc_buckets: int):
 
 
 def _blocks(kind: int, buckets: int, bucket: np.ndarray, keep: np.ndarray, doc, tie, start, *more):
-    """One row for each bucket among the windows to keep."""
+    """One row for each bucket among the windows to keep, which come in the order of (doc, tie, start)."""
     pick = np.flatnonzero(keep)
     if not len(pick):
         return
-    pick = pick[np.lexsort((start[pick], tie[pick], doc[pick], bucket[pick]))]
+    pick = pick[np.argsort(bucket[pick].astype(np.uint16 if bucket.max() < 1 << 16 else np.int64), kind="stable")]
     edges = np.r_[0, np.flatnonzero(np.diff(bucket[pick])) + 1, len(pick)]
     where, blocks = [], []
     for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -168,45 +238,36 @@ def _blocks(kind: int, buckets: int, bucket: np.ndarray, keep: np.ndarray, doc,
     yield pa.RecordBatch.from_pydict({"bucket": pa.array([w % buckets for w in where], pa.int32()), "kind": pa.array([kind] * len(where), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
-def _history(runs: list[str], bucket: int):
-    """The blocks of one bucket in each run, read where they lie: runs never shuffle again."""
-    for run in runs:
-        files, path = fs.FileSystem.from_uri(f"{run}/bucket={bucket}")
-        if files.get_file_info(path).type != fs.FileType.NotFound:
-            for info in files.get_file_info(fs.FileSelector(path)):
-                if info.path.endswith(".parquet"):
-                    yield from pq.read_table(info.path, filesystem=files, columns=["block"], partitioning=None)["block"].to_pylist()
-
-
-def _merge(doc_buckets: int, runs: list[str]):
-    """Reduce side, one bucket: looks the batch up in the runs and in itself. Kind 1 out: marked
+def _merge(doc_buckets: int):
+    """Reduce side, one bucket: looks the batch up in the runs (kind 2) and in itself. Kind 1 out: marked
     windows by document bucket; kind 2 out: the bucket's new hashes, sorted."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         out_bucket, out_kind, out_block = [], [], []
-        rows = []
+        rows, history = [], []
         for kind, block in zip(table["kind"].to_pylist(), table["block"].to_pylist(), strict=True):
             if kind == 1:
                 out_bucket.append(struct.unpack_from("<q", block)[0])
                 out_kind.append(1)
                 out_block.append(block[8:])
+            elif kind == 2:
+                history.append(block)
             else:
-                rows.append(_unpack(block, np.uint64, np.uint16))
+                rows.append(_unpack(block, np.uint64, np.uint32))
         if rows:
             doc, tie, start, h, check = (np.concatenate(c) for c in zip(*rows, strict=True))
             del rows
-            order = np.lexsort((start, tie, doc, check, h))
+            order = _sorted(h, check, doc, tie, start)
             h, check, doc, tie, start = h[order], check[order], doc[order], tie[order], start[order]
             first, later = _first_and_later(h, check, doc, tie, start)
             old = np.zeros(len(h), bool)
-            for block in _history(runs, bucket):
-                kh, kc = _entries(block)
-                at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
-                old |= (kh[at] == h) & (kc[at] == check)
-            marked = old | later
+            for block in history:
+                old |= _found(*_entries(block), h, check) >= 0
+            marked = np.flatnonzero(old | later)
             fresh = first & ~old
-            if marked.any():
+            if len(marked):
+                marked = marked[np.lexsort((start[marked], tie[marked], doc[marked]))]
                 d = _doc_bucket(doc[marked], doc_buckets)
                 for part in _blocks(0, doc_buckets, d, np.ones(len(d), bool), doc[marked], tie[marked], start[marked]):
                     out_bucket += part["bucket"].to_pylist()
@@ -225,58 +286,90 @@ def _compact(table: pa.Table) -> pa.Table:
     """One bucket's runs as one sorted run. Runs are disjoint: a run holds only what was new."""
     h, c = (np.concatenate(x) for x in zip(*map(_entries, table["block"].to_pylist()), strict=True))
     order = np.argsort(h, kind="stable")
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "block": pa.array([_entry_block(h[order], c[order])], pa.binary())})
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "kind": table["kind"].slice(0, 1), "block": pa.array([_entry_block(h[order], c[order])], pa.binary())})
 
 
 BLOCKS = "bucket int, kind int, block binary"
 
 
 class FingerprintIndex:
-    """The runs of one index in the shared folder. ``buckets`` is fixed for the index's life."""
+    """The runs of one index in its folder. ``buckets`` is fixed for the index's life: choose it for the text that
+    the index is to hold."""
 
-    def __init__(self, spark: SparkSession, buckets: int, doc_buckets: int, window: int = WINDOW):
+    def __init__(self, spark: SparkSession, buckets: int, doc_buckets: int, window: int = WINDOW, path: str | None = None):
         self.spark, self.buckets, self.doc_buckets, self.window = spark, buckets, doc_buckets, window
-        self.path = f"{shared_dir(spark)}/gleaner/index-{uuid.uuid4().hex}"
+        self.path = path or stage_path(spark, "index")
         self.runs: list[str] = []
+        self.compactions = 0
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+        """The index that another session may have written to ``path``."""
+        text = "\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect())
+        found = json.loads(text)
+        index = cls(spark, found["buckets"], found["doc_buckets"], found["window"], path)
+        index.runs = [f"{path}/{run}" for run in found["runs"]]
+        return index
+
+    def _publish(self, runs: list[str]) -> None:
+        """The manifest with ``runs`` takes the place of the one before."""
+        files, place = file_system(self.spark, f"{self.path}/manifest.json")
+        made = file_system(self.spark, f"{self.path}/manifest-{uuid.uuid4().hex}.json")[1]
+        out = files.create(made, True)
+        state = {"buckets": self.buckets, "doc_buckets": self.doc_buckets, "window": self.window, "runs": [r.rsplit("/", 1)[1] for r in runs]}
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        files.delete(place, False)
+        files.rename(made, place)
+        self.runs = runs
+
+    def _read(self, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(BLOCKS).parquet(*paths)
 
     def ingest(self, batch: DataFrame, keep: bool = True) -> DataFrame:
         """Marked windows of ``batch`` (bucket, block), whose doc_ids must follow all earlier ones.
         ``keep=False`` doesn't add the batch to the index."""
         rows = batch.select("doc_id", batch["text"].cast("string").alias("text")).mapInArrow(_hash_windows(self.window, self.buckets, self.doc_buckets), BLOCKS)
-        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets, list(self.runs)), BLOCKS)
-        path = f"{self.path}/{uuid.uuid4().hex}"
-        (found if keep else found.where("kind = 1")).write.partitionBy("kind", "bucket").parquet(path)
+        if self.runs:
+            rows = rows.unionByName(self._read(self.runs))
+        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets), BLOCKS)
+        path = f"{self.path}/batch-{uuid.uuid4().hex}"
+        # Two folders, of as many files as there are tasks: rows of runs go on by bucket in a later shuffle.
+        (found if keep else found.where("kind = 1")).withColumn("part", F.col("kind")).write.partitionBy("part").parquet(path)
         del rows, found
         free_shuffles(self.spark)
-        # A batch without windows leaves no such folder.
-        if keep and self._exists(f"{path}/kind=2"):
-            self.runs.append(f"{path}/kind=2")
-            if len(self.runs) > MAX_RUNS:
-                self.compact()
-        if self._exists(f"{path}/kind=1"):
-            return self.spark.read.schema("block binary, bucket int").parquet(f"{path}/kind=1").select("bucket", "block")
+        if keep:
+            run = f"{self.path}/run-{uuid.uuid4().hex}"
+            files, place = file_system(self.spark, f"{path}/part=2")
+            if files.exists(place):  # a batch may have no new windows
+                files.rename(place, file_system(self.spark, run)[1])
+                self._publish([*self.runs, run])
+                if len(self.runs) > MAX_RUNS:
+                    self.compact()
+        files, place = file_system(self.spark, f"{path}/part=1")
+        if files.exists(place):
+            return self._read([f"{path}/part=1"]).select("bucket", "block")
         return self.spark.createDataFrame([], "bucket int, block binary")
 
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
     def compact(self) -> None:
         """All runs become one: each bucket's runs are merged by one task."""
+        if len(self.runs) < 2:
+            return
         merged = f"{self.path}/run-{uuid.uuid4().hex}"
-        rows = None
-        for run in self.runs:
-            part = self.spark.read.schema("block binary, bucket int").parquet(run).select("bucket", "block")
-            rows = part if rows is None else rows.unionByName(part)
-        rows.groupBy("bucket").applyInArrow(_compact, "bucket int, block binary").write.partitionBy("bucket").parquet(merged)
-        self.drop()
-        self.runs = [merged]
+        self._read(self.runs).groupBy("bucket").applyInArrow(_compact, BLOCKS).write.parquet(merged)
+        before = self.runs
+        self._publish([merged])
+        self.compactions += 1
+        for run in before:
+            _delete(self.spark, run)
+        free_shuffles(self.spark)
 
     def drop(self) -> None:
         """Delete the runs; marked windows already returned stay."""
-        for run in self.runs:
+        before = self.runs
+        self._publish([])
+        for run in before:
             _delete(self.spark, run)
-        self.runs = []
 
 
 def _cut(window: int):
@@ -311,7 +404,7 @@ def _cut(window: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, batches: int = 2, index: FingerprintIndex | None = None, digest_only: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, batches: int = BATCHES, index: FingerprintIndex | None = None, digest_only: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text (or with ``digest_only``
     its SHA-256, kept_sha256). With ``index``, its history counts as earlier, and it takes ``docs`` in."""
     spark = docs.sparkSession

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import _words, exact_dedup, near_dedup, substring_dedup
 
@@ -196,8 +197,35 @@ def test_substring_index_goes_on(spark, clean):
     got = {r["doc_id"]: r["n_removed"] for r in first.unionByName(second).collect()}
     whole = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(clean).collect()}
     assert got == whole and sum(whole.values()) > 100
-    index.compact()
-    assert len(index.runs) == 1
+    again = substring_dedup.FingerprintIndex.open(spark, index.path)
+    assert again.runs == index.runs and len(again.runs) == 2 and again.buckets == 3
+    again.compact()
+    assert len(again.runs) == 1 == len(substring_dedup.FingerprintIndex.open(spark, index.path).runs)
+    third = substring_dedup.remove_repeats(clean.where("doc_id >= 20").withColumn("doc_id", F.col("doc_id") + 1_000), batches=1, index=again).collect()
+    assert all(r["n_removed"] == r["n_words"] for r in third if r["n_words"] >= 20)
+
+
+def test_substring_query_compacts(clean, monkeypatch):
+    seen = []
+    compact = substring_dedup.FingerprintIndex.compact
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: seen.append(len(self.runs)) or compact(self))
+    assert substring_dedup.remove_repeats(clean).count() > 0 and seen == [substring_dedup.MAX_RUNS + 1]
+
+
+def test_several_checks_of_one_hash():
+    """Hashes that agree in 64 bits are told apart by their checks, in runs and in a task's memory."""
+    kh, kc = np.array([1, 5, 5, 5, 9], np.uint64), np.array([1, 3, 1, 2, 0], np.uint32)
+    h, check = np.array([5, 5, 5, 5, 1, 2, 9], np.uint64), np.array([2, 1, 3, 4, 1, 1, 0], np.uint32)
+    assert substring_dedup._found(kh, kc, h, check).tolist() == [3, 2, 1, -1, 0, -1, 4]
+
+
+def test_repeats_between_slices_of_a_task(spark, monkeypatch):
+    """Documents in falling order of id in one task, so later slices hold earlier windows."""
+    monkeypatch.setattr(substring_dedup, "SLICE_BYTES", 600)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"{passage} a{i} {passage} b{i}" if i % 2 else f"c{i} {passage}") for i in range(60)]
+    df = spark.createDataFrame(rows[::-1], "doc_id long, text string").coalesce(1)
+    assert Counter(as_rows(substring_dedup.remove_repeats(df, digest_only=True))) == substring_brute(rows, 20)
 
 
 def test_substring_empty(empty):

@@ -8,7 +8,7 @@ where a hash has repeated before, so a window that a third of all documents shar
 of hashes meet the runs' blocks of their bucket, where the batch is merge-joined with every run: a
 hash found in a run started in an earlier document; among equals of the batch, all but the first by (doc_id,
 start) are repeats. Matches are verified by 32 bits of an independent hash, from the window's bytes on,
-held beside the 64 bits of the first. New hashes make a new run; when more than ``MAX_RUNS`` runs exist, they are
+held beside the 64 bits of the first. New hashes make a new run; when more than ``max_runs`` runs exist, they are
 compacted to one.
 
 An index lives in its folder: a manifest names its runs and is replaced when a run is complete, so ``open`` finds
@@ -40,10 +40,10 @@ from gleaner.llm._common import _delete, file_system, free_shuffles, parts_for,
 
 WINDOW = 20
 MAX_RUNS = 4
-#: The query takes its table in so many batches: enough for runs to be compacted on the way.
-BATCHES = 6
+#: A table is taken in so many batches, with runs compacted to one on the way when there are more than OWN_RUNS.
+BATCHES, OWN_RUNS = 4, 2
 NO_ID = -(1 << 63)
-#: Bytes of text whose windows make about one bucket's block of a batch.
+#: Bytes of text whose marked windows make a document bucket; twice that make a bucket of the index.
 BUCKET_BYTES = 4 << 20
 #: Bytes of text that a map task deduplicates by itself before it sends hashes.
 SLICE_BYTES = 2 << 20
@@ -296,18 +296,18 @@ class FingerprintIndex:
     """The runs of one index in its folder. ``buckets`` is fixed for the index's life: choose it for the text that
     the index is to hold."""
 
-    def __init__(self, spark: SparkSession, buckets: int, doc_buckets: int, window: int = WINDOW, path: str | None = None):
+    def __init__(self, spark: SparkSession, buckets: int, doc_buckets: int, window: int = WINDOW, path: str | None = None, max_runs: int = MAX_RUNS):
         self.spark, self.buckets, self.doc_buckets, self.window = spark, buckets, doc_buckets, window
+        self.max_runs = max_runs
         self.path = path or stage_path(spark, "index")
         self.runs: list[str] = []
-        self.compactions = 0
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str) -> FingerprintIndex:
+    def open(cls, spark: SparkSession, path: str, max_runs: int = MAX_RUNS) -> FingerprintIndex:
         """The index that another session may have written to ``path``."""
         text = "\n".join(r[0] for r in spark.read.text(f"{path}/manifest.json", wholetext=True).collect())
         found = json.loads(text)
-        index = cls(spark, found["buckets"], found["doc_buckets"], found["window"], path)
+        index = cls(spark, found["buckets"], found["doc_buckets"], found["window"], path, max_runs)
         index.runs = [f"{path}/{run}" for run in found["runs"]]
         return index
 
@@ -344,7 +344,7 @@ class FingerprintIndex:
             if files.exists(place):  # a batch may have no new windows
                 files.rename(place, file_system(self.spark, run)[1])
                 self._publish([*self.runs, run])
-                if len(self.runs) > MAX_RUNS:
+                if len(self.runs) > self.max_runs:
                     self.compact()
         files, place = file_system(self.spark, f"{path}/part=1")
         if files.exists(place):
@@ -359,7 +359,6 @@ class FingerprintIndex:
         self._read(self.runs).groupBy("bucket").applyInArrow(_compact, BLOCKS).write.parquet(merged)
         before = self.runs
         self._publish([merged])
-        self.compactions += 1
         for run in before:
             _delete(self.spark, run)
         free_shuffles(self.spark)
@@ -411,7 +410,7 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, batches: int = BATC
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     doc_buckets = parts_for(size, BUCKET_BYTES)
     own = index is None
-    index = index or FingerprintIndex(spark, parts_for(size, BUCKET_BYTES * max(1, batches)), doc_buckets, window)
+    index = index or FingerprintIndex(spark, parts_for(size, 2 * BUCKET_BYTES), doc_buckets, window, max_runs=OWN_RUNS)
     doc_buckets = index.doc_buckets
     cuts = [i / batches for i in range(1, batches)]
     bounds = (docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(c) for c in cuts]), F.lit(10_000))).first()[0] or []) if cuts else []

@@ -209,7 +209,7 @@ def test_substring_query_compacts(clean, monkeypatch):
     seen = []
     compact = substring_dedup.FingerprintIndex.compact
     monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: seen.append(len(self.runs)) or compact(self))
-    assert substring_dedup.remove_repeats(clean).count() > 0 and seen == [substring_dedup.MAX_RUNS + 1]
+    assert substring_dedup.remove_repeats(clean).count() > 0 and seen == [substring_dedup.OWN_RUNS + 1]
 
 
 def test_several_checks_of_one_hash():

@@ -7,6 +7,7 @@ over random numbers drawn for each byte value, taken from prefix sums and mixed
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,6 +44,17 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system at a task's end: workers live on."""
+    pa.default_memory_pool().release_unused()
+    if len(_powers) and len(_powers[0]) > 4 * SLICE_BYTES:
+        _powers.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, a bijection."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -88,7 +100,10 @@ def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 20
     """A 64-bit hash of each word; another ``seed`` gives an independent one."""
     up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_byte_codes(seed)[raw] * up[: len(raw)], out=sums[1:])
+    parts = sums[1:]  # everything in place: texts may be long
+    np.take(_byte_codes(seed), raw, out=parts, mode="clip")
+    np.multiply(parts, up[: len(raw)], out=parts)
+    np.cumsum(parts, out=parts)
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
@@ -98,5 +113,6 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     up, down = powers(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
+    np.multiply(words, up[: len(words)], out=sums[1:])
+    np.cumsum(sums[1:], out=sums[1:])
     return mixed((sums[n:] - sums[:-n]) * down[: len(words) - n + 1])

@@ -7,9 +7,9 @@ tasks, each of which keeps a hash's first window and marks the later ones of its
 where a hash has repeated before, so a window that a third of all documents share is sent about once a task. Blocks
 of hashes meet the runs' blocks of their bucket, where the batch is merge-joined with every run: a
 hash found in a run started in an earlier document; among equals of the batch, all but the first by (doc_id,
-start) are repeats. Matches are verified by 32 bits of an independent hash, from the window's bytes on,
-held beside the 64 bits of the first. New hashes make a new run; when more than ``max_runs`` runs exist, they are
-compacted to one.
+start) are repeats. Matches are verified by 24 bits of an independent hash, from the window's bytes on,
+held beside the 64 bits of the first. New hashes make a new run; where ``max_runs`` runs exist, that task, which
+has all their blocks at hand, compacts them and the new hashes to one.
 
 An index lives in its folder: a manifest names its runs and is replaced when a run is complete, so ``open`` finds
 the index as of the last whole batch, in this session or a later one. Runs are plain Parquet tables of a
@@ -40,8 +40,8 @@ from gleaner.llm._common import _delete, file_system, free_shuffles, parts_for,
 
 WINDOW = 20
 MAX_RUNS = 4
-#: A table is taken in so many batches, with runs compacted to one on the way when there are more than OWN_RUNS.
-BATCHES, OWN_RUNS = 4, 2
+#: A table is taken in so many batches, with OWN_RUNS runs compacted with the next one on the way.
+BATCHES, OWN_RUNS = 5, 2
 NO_ID = -(1 << 63)
 #: Bytes of text whose marked windows make a document bucket; twice that make a bucket of the index.
 BUCKET_BYTES = 4 << 20
@@ -201,7 +201,7 @@ def _hash_windows(window: int, buckets: int, doc_buckets: int):
                 h = _words.grams(words, window)
                 inside = owner[: len(h)] == owner[window - 1 :] if len(h) else np.empty(0, bool)
                 at = np.flatnonzero(inside)
-                h, check, owner = h[at], (_words.grams(other, window) >> np.uint64(32)).astype(np.uint32)[at], owner[at]
+                h, check, owner = h[at], (_words.grams(other, window) >> np.uint64(40)).astype(np.uint32)[at], owner[at]
                 start = (at - first[owner]).astype(np.uint32)
                 doc, tie = mine[owner], ties[owner]
                 order = _sorted(h, check, doc, tie, start)
@@ -218,6 +218,7 @@ def _hash_windows(window: int, buckets: int, doc_buckets: int):
                     hot.add(h[new], check[new], doc[new], tie[new], start[new])
                 yield from _blocks(1, buckets, _doc_bucket(doc, doc_buckets), again, doc, tie, start)
                 yield from _blocks(0, buckets, _bucket_of(h, buckets), ~again, doc, tie, start, h, check)
+        _words.tidy()
 
     return run
 
@@ -238,11 +239,13 @@ def _blocks(kind: int, buckets: int, bucket: np.ndarray, keep: np.ndarray, doc,
     yield pa.RecordBatch.from_pydict({"bucket": pa.array([w % buckets for w in where], pa.int32()), "kind": pa.array([kind] * len(where), pa.int32()), "block": pa.array(blocks, pa.binary())})
 
 
-def _merge(doc_buckets: int):
+def _merge(doc_buckets: int, fold: bool):
     """Reduce side, one bucket: looks the batch up in the runs (kind 2) and in itself. Kind 1 out: marked
-    windows by document bucket; kind 2 out: the bucket's new hashes, sorted."""
+    windows by document bucket; kind 2 out: the bucket's new hashes, sorted, with ``fold`` merged with those of
+    all runs."""
 
     def run(table: pa.Table) -> pa.Table:
+        fresh_h, fresh_c = np.empty(0, np.uint64), np.empty(0, np.uint32)
         bucket = table["bucket"][0].as_py()
         out_bucket, out_kind, out_block = [], [], []
         rows, history = [], []
@@ -273,20 +276,29 @@ def _merge(doc_buckets: int):
                     out_bucket += part["bucket"].to_pylist()
                     out_kind += [1] * len(part)
                     out_block += part["block"].to_pylist()
-            if fresh.any():
-                out_bucket.append(bucket)
-                out_kind.append(2)
-                out_block.append(_entry_block(h[fresh], check[fresh]))
+            fresh_h, fresh_c = h[fresh], check[fresh]
+        if fold and history:
+            fresh_h, fresh_c = _united([(fresh_h, fresh_c), *map(_entries, history)])
+        if len(fresh_h):
+            out_bucket.append(bucket)
+            out_kind.append(2)
+            out_block.append(_entry_block(fresh_h, fresh_c))
         return pa.table({"bucket": pa.array(out_bucket, pa.int32()), "kind": pa.array(out_kind, pa.int32()), "block": pa.array(out_block, pa.binary())})
 
     return run
 
 
+def _united(entries: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Entries of one bucket in one order. They are disjoint: a run holds only what was new."""
+    h, c = (np.concatenate(x) for x in zip(*entries, strict=True))
+    order = np.lexsort((c, h))
+    return h[order], c[order]
+
+
 def _compact(table: pa.Table) -> pa.Table:
-    """One bucket's runs as one sorted run. Runs are disjoint: a run holds only what was new."""
-    h, c = (np.concatenate(x) for x in zip(*map(_entries, table["block"].to_pylist()), strict=True))
-    order = np.argsort(h, kind="stable")
-    return pa.table({"bucket": table["bucket"].slice(0, 1), "kind": table["kind"].slice(0, 1), "block": pa.array([_entry_block(h[order], c[order])], pa.binary())})
+    """One bucket's runs as one sorted run."""
+    block = _entry_block(*_united([_entries(b) for b in table["block"].to_pylist()]))
+    return pa.table({"bucket": table["bucket"].slice(0, 1), "kind": table["kind"].slice(0, 1), "block": pa.array([block], pa.binary())})
 
 
 BLOCKS = "bucket int, kind int, block binary"
@@ -332,7 +344,8 @@ class FingerprintIndex:
         rows = batch.select("doc_id", batch["text"].cast("string").alias("text")).mapInArrow(_hash_windows(self.window, self.buckets, self.doc_buckets), BLOCKS)
         if self.runs:
             rows = rows.unionByName(self._read(self.runs))
-        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets), BLOCKS)
+        fold = keep and len(self.runs) >= self.max_runs
+        found = rows.groupBy("bucket").applyInArrow(_merge(self.doc_buckets, fold), BLOCKS)
         path = f"{self.path}/batch-{uuid.uuid4().hex}"
         # Two folders, of as many files as there are tasks: rows of runs go on by bucket in a later shuffle.
         (found if keep else found.where("kind = 1")).withColumn("part", F.col("kind")).write.partitionBy("part").parquet(path)
@@ -343,16 +356,17 @@ class FingerprintIndex:
             files, place = file_system(self.spark, f"{path}/part=2")
             if files.exists(place):  # a batch may have no new windows
                 files.rename(place, file_system(self.spark, run)[1])
-                self._publish([*self.runs, run])
-                if len(self.runs) > self.max_runs:
-                    self.compact()
+                before = self.runs
+                self._publish([run] if fold else [*before, run])
+                for old in before if fold else []:
+                    _delete(self.spark, old)
         files, place = file_system(self.spark, f"{path}/part=1")
         if files.exists(place):
             return self._read([f"{path}/part=1"]).select("bucket", "block")
         return self.spark.createDataFrame([], "bucket int, block binary")
 
     def compact(self) -> None:
-        """All runs become one: each bucket's runs are merged by one task."""
+        """All runs become one now: each bucket's runs are merged by one task."""
         if len(self.runs) < 2:
             return
         merged = f"{self.path}/run-{uuid.uuid4().hex}"

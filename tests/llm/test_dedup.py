@@ -205,11 +205,16 @@ def test_substring_index_goes_on(spark, clean):
     assert all(r["n_removed"] == r["n_words"] for r in third if r["n_words"] >= 20)
 
 
-def test_substring_query_compacts(clean, monkeypatch):
+def test_substring_runs_are_compacted_on_the_way(spark, clean, monkeypatch):
     seen = []
-    compact = substring_dedup.FingerprintIndex.compact
-    monkeypatch.setattr(substring_dedup.FingerprintIndex, "compact", lambda self: seen.append(len(self.runs)) or compact(self))
-    assert substring_dedup.remove_repeats(clean).count() > 0 and seen == [substring_dedup.OWN_RUNS + 1]
+    publish = substring_dedup.FingerprintIndex._publish
+    monkeypatch.setattr(substring_dedup.FingerprintIndex, "_publish", lambda self, runs: seen.append(len(runs)) or publish(self, runs))
+    assert substring_dedup.remove_repeats(clean).count() > 0 and seen == [1, 2, 1, 2, 0]
+    index = substring_dedup.FingerprintIndex(spark, 3, 2, max_runs=1)
+    for low in range(0, 60, 10):
+        substring_dedup.remove_repeats(clean.where(f"doc_id >= {low} AND doc_id < {low + 10}"), batches=1, index=index).count()
+    kept = [substring_dedup._entries(r["block"])[0] for r in index._read(index.runs).collect()]
+    assert len(index.runs) == 1 and len(kept) == 3 and all((np.diff(k) > 0).all() for k in kept)
 
 
 def test_several_checks_of_one_hash():

@@ -16,7 +16,6 @@ gives an empty result.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,11 +34,11 @@ SKETCH = 64
 KEY_BITS = 20
 NEIGHBOURS = 8
 END_ID = 1
-#: Runs and pieces of runs whose ids are kept; beyond that each memory starts afresh.
-MEMO, PIECE_MEMO = 200_000, 300_000
-_odd_blanks = re.compile("[\x1c-\x1f]").search
-_simple = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
-_pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+#: Units whose ids are kept; beyond that the memory starts afresh.
+MEMO = 300_000
+TABLE_BITS = 20
+#: Hashes of units for the library are set apart by this.
+ODD = 0x5851F42D4C957F2D
 
 
 @lru_cache(maxsize=1)
@@ -49,12 +48,12 @@ def _encoder(path: str) -> Encoder:
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, for a tokenizer whose pre-tokenizer never
-    joins across white space: ids of each run without white space are kept and reused.
+    """Token ids of texts for a tokenizer whose pre-tokenizer never joins across white space.
 
-    Runs of ASCII and Latin-1 letters are encoded here, all new ones of a block at once, when the
-    tokenizer file holds the pipeline that this class knows (lower case, word ends, no dropout); any
-    other run, and any other tokenizer, goes through the library.
+    Where the tokenizer file holds the pipeline that this class knows (lower case, word ends, no dropout), texts
+    are cut into its pieces by numpy, byte by byte: runs of ASCII and Latin-1 letters, single digits, runs of other
+    ASCII signs, and contractions. The ids of each piece are kept by its hash. A word with anything else in it is
+    a unit that goes through the library, as do all texts with any other tokenizer.
     """
 
     _PIECES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
@@ -63,8 +62,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.forget()
         spec = json.loads(Path(path).read_text())
         self.fast = self._known(spec)
         if self.fast:
@@ -104,24 +102,50 @@ class Encoder:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
+        # Places of pairs by hash; the few that share a cell are in a second table.
+        self.tables = []
+        left = np.arange(len(keys))
+        for multiplier in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            table = np.full(1 << TABLE_BITS, len(keys), np.int32)
+            cell = self._cell(self.keys[left], multiplier)
+            table[cell] = left
+            self.tables.append((multiplier, table))
+            left = left[table[cell] != left]
+        self.rest = left
+        self.keys, self.ranks = np.append(self.keys, -1), np.append(self.ranks, len(keys))
+
+    @staticmethod
+    def _cell(keys: np.ndarray, multiplier: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        """The place of each pair among the merges; the last place is for pairs that never merge."""
+        none = len(self.keys) - 1
+        (first, table), (second, more) = self.tables
+        at = table[self._cell(key, first)]
+        miss = np.flatnonzero((self.keys[at] != key) & (at != none))
+        at[miss] = more[self._cell(key[miss], second)]
+        miss = miss[self.keys[at[miss]] != key[miss]]
+        at[miss] = none
+        for place in self.rest.tolist():
+            at[miss[key[miss] == self.keys[place]]] = place
+        return at
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _merge(self, pieces: list[str]) -> list[bytes]:
+    def _merge(self, raw: list[bytes]) -> list[bytes]:
         """Byte pairs of all pieces at once: in each round, every piece merges its lowest-ranked pair."""
-        raw = [p.encode() for p in pieces]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         symbol, piece = self.inner[data], np.repeat(np.arange(len(raw)), length)
         last = np.cumsum(length) - 1
         symbol[last] = self.final[data[last]]
-        never = len(self.keys)
+        never = len(self.keys) - 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
-            key = symbol[:-1] << 16 | symbol[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), never - 1)
-            rank = np.append(np.where((self.keys[at] == key) & (piece[1:] == piece[:-1]), self.ranks[at], never), never)
+            at = self._place(symbol[:-1] << 16 | symbol[1:])
+            rank = np.append(np.where(piece[1:] == piece[:-1], self.ranks[at], never), never)
             begin = np.flatnonzero(np.r_[True, piece[1:] != piece[:-1]])
             size = np.diff(np.r_[begin, len(piece)])
             best = np.repeat(np.minimum.reduceat(rank, begin), size)
@@ -142,44 +166,124 @@ class Encoder:
         ends = (np.cumsum(np.bincount(piece, minlength=len(raw))) * 4).tolist()
         return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds runs to the memo."""
-        if not self.fast:
-            self.memo.update(zip(new, self._library(new), strict=True))
-            return
-        simple = [w for w in new if _simple(w) and "<|" not in w]
-        if len(simple) < len(new):
-            rest = [w for w in new if not _simple(w) or "<|" in w]
-            self.memo.update(zip(rest, self._library(rest), strict=True))
-        cut = [_pieces(w.lower()) for w in simple]
-        unseen = [p for p in {p for c in cut for p in c} if p not in self.pieces]
-        if unseen:
-            if len(self.pieces) > PIECE_MEMO:
-                self.pieces.clear()
-                unseen = list({p for c in cut for p in c})
-            self.pieces.update(zip(unseen, self._merge(unseen), strict=True))
-        pieces = self.pieces
-        self.memo.update((w, b"".join([pieces[p] for p in c])) for w, c in zip(simple, cut, strict=True))
-
     def forget(self) -> None:
         """Gives the memory back: the worker may go on to other stages."""
-        self.memo.clear()
-        self.pieces.clear()
-        pa.default_memory_pool().release_unused()
-
-    def block(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        split = [t.split() for t in texts]
-        words = set().union(*split)
-        new = words - self.memo.keys()
-        if new:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-                new = words
-            self._learn(list(new))
-        memo = self.memo
-        # Characters that are blank for str.split but not for the tokenizer.
-        return [self._library([t])[0] if _odd_blanks(t) else b"".join([memo[w] for w in s]) for t, s in zip(texts, split, strict=True)]
+        self.known, self.at, self.size, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
+
+    def _learn(self, hashes: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> None:
+        """Adds units to those known."""
+        if len(self.known) > MEMO:
+            self.forget()
+        made: list[bytes] = [b""] * len(hashes)
+        units = [low[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        for picked, encode in ((np.flatnonzero(~odd), self._merge), (np.flatnonzero(odd), lambda u: self._library([x.decode() for x in u]))):
+            if len(picked):
+                for i, ids in zip(picked.tolist(), encode([units[i] for i in picked.tolist()]), strict=True):
+                    made[i] = ids
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        known = np.r_[self.known, hashes]
+        order = np.argsort(known, kind="stable")
+        at = np.r_[self.at, len(self.pool) + np.cumsum(size) - size]
+        self.pool = np.r_[self.pool, np.frombuffer(b"".join(made), "<u4")]
+        self.known, self.at, self.size = known[order], at[order], np.r_[self.size, size][order]
+
+    def block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): text i has the token ids first[i] .. first[i+1]-1. A null text has none."""
+        if not self.fast:
+            made = self._library([t or "" for t in texts.to_pylist()])
+            return np.frombuffer(b"".join(made), "<u4"), np.r_[0, np.cumsum([len(m) // 4 for m in made], dtype=np.int64)]
+        low, starts, ends, odd, first = _units(texts)
+        if not len(starts):
+            return np.empty(0, "<u4"), np.zeros(len(texts) + 1, np.int64)
+        hashes = _words.hashes(low, starts, ends)
+        hashes[odd] ^= np.uint64(ODD)
+        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            if len(self.known) > MEMO:
+                new[:] = True
+            of = one[new]
+            self._learn(distinct[new], low, starts[of], ends[of], odd[of])
+            place = np.searchsorted(self.known, distinct)
+        size = self.size[place][which]
+        stop = np.cumsum(size)
+        from_ = np.repeat(self.at[place][which] - (stop - size), size)
+        ids = self.pool[from_ + np.arange(len(from_))]
+        return ids, np.r_[0, stop][first]
+
+
+_BLANK, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_class = np.full(256, _ODD, np.uint8)
+_class[[9, 10, 11, 12, 13, 32]] = _BLANK
+for _b in range(33, 127):
+    _class[_b] = _LETTER if chr(_b).isalpha() else _DIGIT if chr(_b).isdigit() else _SIGN
+#: Second bytes of Latin-1 letters after 0xC3, and what lower case makes of them.
+_latin = np.zeros(256, bool)
+_latin[0x80:0xC0] = True
+_latin[[0x97, 0xB7]] = False
+_latin_low = np.arange(256, dtype=np.uint8)
+_latin_low[0x80:0x9F] += 32
+_latin_low[0x97] = 0x97
+_low = np.arange(256, dtype=np.uint8)
+_low[65:91] += 32
+
+
+def _units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends, odd, first): text i has the units first[i] .. first[i+1]-1, which are pieces in lower
+    case or, where odd, whole words as they are."""
+    texts = texts.fill_null("").cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    edges = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data is not None and edges[-1] > edges[0] else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    n = len(raw)
+    kind, low = _class[raw], _low[raw]
+    lead = np.flatnonzero(raw[:-1] == 0xC3) if n else np.empty(0, np.int64)
+    lead = lead[_latin[raw[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    low[lead + 1] = _latin_low[raw[lead + 1]]
+    full = kind != _BLANK
+    edge = np.zeros(n + 1, bool)
+    edge[edges] = True
+    begin = full & edge[:n]
+    begin[1:] |= full[1:] & ~full[:-1]
+    # Words with other characters, or that may hold a special token, stay whole.
+    word = np.cumsum(begin) - 1
+    strange = kind == _ODD
+    strange[:-1] |= (raw[:-1] == 0x3C) & (raw[1:] == 0x7C) & ~edge[1:n]
+    whole = np.zeros(int(begin.sum()), bool)
+    whole[word[strange]] = True
+    in_odd = full & whole[np.maximum(word, 0)] if len(whole) else np.zeros(n, bool)
+    low[in_odd] = raw[in_odd]
+    start = full & (kind == _DIGIT)
+    start[1:] |= full[1:] & (kind[1:] != kind[:-1])
+    start = start & ~in_odd | begin
+    stop = ~full | edge[:n]  # where no unit goes on
+    # An apostrophe that begins a run of signs takes 's, 't, 'm, 'd, 're, 've or 'll with it.
+    for p in _contractions(raw, low, start & (raw == 0x27) & ~in_odd, stop):
+        at, length = p
+        start[at + 1] = False
+        after = at + length
+        after = after[after < n]
+        start[after[full[after] & ~stop[after]]] = True
+    cut = np.flatnonzero(start | stop)
+    mine = start[cut]
+    starts, ends = cut[mine], np.r_[cut[1:], n][mine]
+    return low, starts, ends, in_odd[starts], np.searchsorted(starts, edges)
+
+
+def _contractions(raw: np.ndarray, low: np.ndarray, candidates: np.ndarray, stop: np.ndarray):
+    """(places, length) of the apostrophes that begin a contraction."""
+    at = np.flatnonzero(candidates)
+    at = at[at + 1 < len(raw)]
+    at = at[~stop[at + 1]]
+    one = at[np.isin(low[at + 1], np.frombuffer(b"stmd", np.uint8))]
+    two = at[at + 2 < len(raw)]
+    two = two[~stop[two + 2]]
+    pair = low[two + 1].astype(np.int64) << 8 | low[two + 2]
+    two = two[np.isin(pair, [a << 8 | b for a, b in (b"re", b"ve", b"ll")])]
+    return ((one, 2), (two, 3))
 
 
 def sketches(texts: pa.Array) -> np.ndarray:
@@ -297,16 +401,17 @@ def _pack(tokenizer: str, length: int, block_docs: int, block_bytes: int, digest
                 for c in range(a, b, block_docs):
                     part = batch.slice(c, min(b - c, block_docs))
                     ids = part["doc_id"].to_pylist()
-                    tokens = encode.block([t or "" for t in part["text"].to_pylist()])
+                    tokens, first = encode.block(part["text"])
                     vectors = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
                     rows: list[tuple] = []
                     for i in walk(vectors):
-                        rows += filler.add(ids[i], tokens[i] + end)
+                        rows += filler.add(ids[i], tokens[first[i] : first[i + 1]].tobytes() + end)
                     if rows:
                         yield batch_of(rows)
         if rows := list(filler.end()):
             yield batch_of(rows)
         encode.forget()
+        _words.tidy()
 
     return run
 

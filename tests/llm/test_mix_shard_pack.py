@@ -3,8 +3,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from importlib.util import find_spec
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,16 +216,21 @@ def test_encoder_is_the_tokenizer():
     rng = np.random.default_rng(6)
     letters = list("aabbeelloott'''sdmreéèüßñ!?.,$%&*|<>-_0129ÀÖ×÷²µ \n\t") + ["\x1c", " ", "é", "中", "\U0001f600", "İ", "Σ"]
     texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(2000)] + ["a" * k for k in range(40)]
-    texts += ["x<|endoftext|>y <|startoftext|>", "don't WE'LL it's", " ", ""]
-    assert [list(np.frombuffer(x, "<u4")) for x in encoder.block(texts)] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-
-def test_walk_visits_all_and_stays_near():
-    rng = np.random.default_rng(7)
-    centres = rng.standard_normal((5, packing.SKETCH))
-    group = rng.integers(0, 5, 100)
-    v = (centres[group] + 0.1 * rng.standard_normal((100, packing.SKETCH))).astype(np.float32)
-    order = packing.walk(v / np.linalg.norm(v, axis=1, keepdims=True))
-    assert sorted(order) == list(range(100))
-    assert sum(group[a] != group[b] for a, b in zip(order, order[1:], strict=False)) < 20
-    assert packing.walk(v[:0]) == [] and packing.walk(v[:1]) == [0]
+    texts += ["x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> <|endoftext|>", "don't WE'LL it's", "a''s 'test '", "l'l 'LLama 're' 'v 'VE", "\u00a0x\x85y", "e\u0301 \u0301", None, ""]
+    for part in (texts, *[[t] for t in texts[-9:]], [], texts[::-1]):
+        ids, first = encoder.block(pa.array(part, pa.string()))
+        assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)] == [e.ids for e in tokenizer.encode_batch([t or "" for t in part], add_special_tokens=False)]
+
+
+@needs_vocabulary
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_encoder_is_the_tokenizer_on_all_documents():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(queries.TOKENIZER), packing.Encoder(queries.TOKENIZER)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].combine_chunks()
+    want = [e.ids for e in tokenizer.encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+    for a in range(0, len(texts), 300):
+        ids, first = encoder.block(texts.slice(a, 300))
+        assert [ids[x:y].tolist() for x, y in zip(first[:-1], first[1:], strict=True)] == want[a : a + 300]

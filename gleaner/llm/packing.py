@@ -1,15 +1,19 @@
 """Related-document packing: tokens into sequences of at most ``length``, neighbours together.
 
-Documents are put in order of a locality-preserving key - the signs of a few random projections of
-their word counts, so that alike texts get alike keys - and cut into ranges of bounded size. In a range,
-blocks of up to ``block_docs`` documents get a nearest-neighbour graph: exact cosine neighbours of the
-sketches within the block. A greedy walk starts at the unvisited document of lowest degree and goes on
-to its nearest unvisited neighbour until there is none; the paths, one after another, fill windows of
-``length`` tokens. The rest of a task's stream is cut into sequences of powers of two, which need no
+A document's sketch is a small vector of its word counts; documents with equal sketches are one node. Nodes get
+their NEIGHBOURS nearest others by an inverted-file search over all of them: cells around centroids of a bounded
+sample, every node in the cell of its nearest centroid, and every node compared with all members of the cells
+nearest to it. Cells grow in number with the nodes and the cells searched with the root of their number,
+so the search costs the 1.5th power of the nodes; its recall is measured in the tests and in the README.
+
+Cells, in an order that leads from each to a near one, are cut into ranges of bounded bytes of text, one task each. A greedy walk
+starts at the unvisited node of lowest degree and goes on to its nearest unvisited neighbour until there is none in
+its range; the paths, one after another, fill windows of ``length`` tokens. Links to nodes of other ranges
+count for no path. The rest of a range's stream is cut into sequences of powers of two, which need no
 padding at all.
 
 Defined results: a null text is empty and has the end token alone; repeated rows are packed as rows of
-their own; a null doc_id comes first within equal keys; other columns don't matter; an empty table
+their own; a null doc_id comes first within equal sketches; other columns don't matter; an empty table
 gives an empty result.
 """
 
@@ -23,16 +27,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import _words
-from gleaner.llm._common import parts_for
+from gleaner.llm._common import parts_for, stage
 
 SKETCH = 64
-KEY_BITS = 20
 NEIGHBOURS = 8
+#: Nodes, the first by a hash, to which the cells are fitted; cells at most; cells searched, times the root of their number.
+SAMPLE, MOST_CELLS, PROBE = 20_000, 4_096, 1.2
 END_ID = 1
 #: Units whose ids are kept; beyond that the memory starts afresh.
 MEMO = 300_000
@@ -170,6 +175,11 @@ class Encoder:
         """Gives the memory back: the worker may go on to other stages."""
         self.known, self.at, self.size, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4")
 
+    def settle(self) -> None:
+        """Forgets a large memory: the worker may go on to other stages."""
+        if len(self.known) > MEMO // 2:
+            self.forget()
+
     def _learn(self, hashes: np.ndarray, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: np.ndarray) -> None:
         """Adds units to those known."""
         if len(self.known) > MEMO:
@@ -300,41 +310,233 @@ def sketches(texts: pa.Array) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-_planes = np.random.default_rng(5).standard_normal((SKETCH, KEY_BITS)).astype(np.float32)
-
-
-def _keyed(batches):
-    for batch in batches:
-        sketch = sketches(batch["text"])
-        bits = sketch @ _planes > 0
-        key = bits @ (1 << np.arange(KEY_BITS)[::-1])
-        small = np.round(sketch * 127).astype(np.int8)
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), batch["doc_id"], batch["text"], pa.array([x.tobytes() for x in small], pa.binary())], ["key", "doc_id", "text", "sketch"])
-
-
-def walk(vectors: np.ndarray, neighbours: int = NEIGHBOURS) -> list[int]:
-    """The order of visit: greedy paths over the nearest-neighbour graph, lowest degree first."""
-    n = len(vectors)
-    if n < 3:
-        return list(range(n))
-    near = vectors @ vectors.T
-    np.fill_diagonal(near, -2)
-    k = min(neighbours, n - 1)
-    links: list[set[int]] = [set() for _ in range(n)]
-    for i, best in enumerate(np.argpartition(-near, k - 1, axis=1)[:, :k].tolist()):
-        links[i].update(best)
-        for j in best:
-            links[j].add(i)
-    alike = near.tolist()
+def quantized(texts: pa.Array) -> np.ndarray:
+    """Sketches in whole numbers of a byte."""
+    return np.round(sketches(texts) * 127).astype(np.int8)
+
+
+def node_ids(sketch: np.ndarray) -> np.ndarray:
+    """A number for each row of quantized sketches."""
+    h = np.zeros(len(sketch), np.uint64)
+    for part in np.ascontiguousarray(sketch).view(np.uint64).T:
+        h = _words.mixed((h ^ part) + np.uint64(_words.BASE))
+    return h.view(np.int64)
+
+
+def _vectors(blobs: list[bytes]) -> np.ndarray:
+    """Unit vectors of quantized sketches."""
+    v = np.frombuffer(b"".join(blobs), np.int8).reshape(-1, SKETCH).astype(np.float32)
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def fit_cells(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
+    """Centroids of ``sample`` (unit vectors) by spherical k-means, in an order that leads from each to a near one."""
+    cells = max(1, min(cells, len(sample)))
+    centroids = sample[np.linspace(0, len(sample) - 1, cells).astype(int)] if len(sample) else np.zeros((1, SKETCH), np.float32)
+    for _ in range(rounds if len(sample) else 0):
+        sums = np.zeros_like(centroids)
+        np.add.at(sums, (sample @ centroids.T).argmax(1), sample)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        centroids = np.where(norm > 0, sums / np.maximum(norm, 1e-9), centroids)
+    left = np.ones(cells, bool)
+    order, now = [], 0
+    while len(order) < cells:
+        order.append(now)
+        left[now] = False
+        now = int(np.where(left, centroids @ centroids[now], -2).argmax())
+    return centroids[order]
+
+
+class Layout:
+    """Where nodes go: the cells of the search, and the ranges of cells that are packed together."""
+
+    def __init__(self, centroids: np.ndarray, probes: int):
+        self.centroids, self.probes = centroids, min(probes, len(centroids))
+        near = centroids @ centroids.T
+        np.fill_diagonal(near, 2)
+        #: A cell's members are candidates in all cells that have it among the nearest; twice as many as one node searches.
+        self.reach: list[list[int]] = [[] for _ in centroids]
+        for cell, best in enumerate(np.argsort(-near, axis=1)[:, : 2 * self.probes].tolist()):
+            for other in best:
+                self.reach[other].append(cell)
+        self.first, self.parts = np.zeros(len(centroids), np.int64), np.ones(len(centroids), np.int64)
+        self.heavy: dict[int, tuple[int, int]] = {}
+        self.ranges = 1
+
+    def cut(self, cell_bytes: dict[int, int], heavy: dict[int, int], range_bytes: int) -> None:
+        """Ranges of about ``range_bytes``: cells in their order, large ones and copies of one text split."""
+        total = at = 0
+        for cell in range(len(self.centroids)):
+            size = cell_bytes.get(cell, 0)
+            if total and total + size > range_bytes:
+                at, total = at + 1, 0
+            self.first[cell], self.parts[cell] = at, parts_for(size, range_bytes)
+            at, total = at + self.parts[cell] - 1, total + size
+            if self.parts[cell] > 1:
+                at, total = at + 1, 0
+        self.ranges = at + 1
+        for node, size in sorted(heavy.items()):
+            self.heavy[node] = (self.ranges, parts_for(size, range_bytes))
+            self.ranges += self.heavy[node][1]
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return np.concatenate([(vectors[i : i + 4096] @ self.centroids.T).argmax(1) for i in range(0, max(len(vectors), 1), 4096)])
+
+    def range_of(self, cell: np.ndarray, node: np.ndarray) -> np.ndarray:
+        return self.first[cell] + node % self.parts[cell]
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    """Staged: sketch and bytes of text of each node."""
+
+    def run(batches):
+        for batch in batches:
+            sketch = quantized(batch["text"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sketch], pa.binary()), pc.fill_null(pc.binary_length(batch["text"]), 0).cast(pa.int64())], ["sketch", "bytes"])
+        _words.tidy()
+
+    made = docs.select(docs["text"].cast("string").alias("text")).mapInArrow(run, "sketch binary, bytes long")
+    return stage(made.groupBy("sketch").agg(F.sum("bytes").alias("bytes")), "nodes", reclaim=True)
+
+
+def _members(layout: Layout):
+    """Packed members of cells: for each cell that searches them, (cell, home, ids, sketches)."""
+
+    def run(batches):
+        for batch in batches:
+            blobs = batch["sketch"].to_pylist()
+            if not blobs:
+                continue
+            sketch = np.frombuffer(b"".join(blobs), np.int8).reshape(-1, SKETCH)
+            ids, home = node_ids(sketch), layout.cells(_vectors(blobs))
+            for h in np.unique(home).tolist():
+                mine = np.flatnonzero(home == h)
+                for a in range(0, len(mine), 2048):
+                    part = mine[a : a + 2048]
+                    to = layout.reach[h]
+                    blocks = [pa.array([x] * len(to), pa.binary()) for x in (ids[part].tobytes(), sketch[part].tobytes())]
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([h] * len(to), pa.int32()), *blocks], ["cell", "home", "ids", "sketches"])
+
+    return run
+
+
+def nearest(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, likeness): the best neighbours of each query among blocks of (ids, vectors, rows of the queries that
+    search it), best first; -1 for none."""
+    n = len(queries)
+    ids, alike = np.full((n, neighbours), -1, np.int64), np.full((n, neighbours), -2, np.float32)
+    for their, vectors, rows in blocks:
+        step = max(1, (8 << 20) // max(len(their), 1))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
+            near = queries[part] @ vectors.T
+            if len(their) > 4 * neighbours and alike[part, -1].max() < -1:  # nothing yet: the first block
+                cut = np.partition(near, len(their) - neighbours - 1, axis=1)[:, len(their) - neighbours - 1]
+            else:
+                cut = alike[part, -1]
+            r, c = np.nonzero(near > cut[:, None])
+            r, c = r[keep := their[c] != own[part[r]]], c[keep]
+            found = np.concatenate([np.repeat(np.arange(len(part)), neighbours), r])
+            who = np.concatenate([ids[part].ravel(), their[c]])
+            how = np.concatenate([alike[part].ravel(), near[r, c]])
+            order = np.lexsort((who, -how, found))
+            found, who, how = found[order], who[order], how[order]
+            rank = np.arange(len(found)) - np.searchsorted(found, np.arange(len(part)))[found]
+            best = rank < neighbours
+            ids[part[found[best]], rank[best]], alike[part[found[best]], rank[best]] = who[best], how[best]
+    return ids, alike
+
+
+def _near(layout: Layout, neighbours: int):
+    """One cell: the nearest neighbours of its own nodes among the members that reached it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cell = table["cell"][0].as_py()
+        members: dict[int, tuple[list[bytes], list[bytes]]] = {}
+        for home, ids, sketch in zip(table["home"].to_pylist(), table["ids"].to_pylist(), table["sketches"].to_pylist(), strict=True):
+            kept = members.setdefault(home, ([], []))
+            kept[0].append(ids)
+            kept[1].append(sketch)
+        if cell not in members:
+            return pa.table({"range": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "near": pa.array([], pa.binary()), "alike": pa.array([], pa.binary())})
+        own, queries = np.frombuffer(b"".join(members[cell][0]), np.int64), _vectors(members[cell][1])
+        order = np.argsort(own)
+        own, queries = own[order], queries[order]
+        # The home cell first, so that later ones have a bar to pass.
+        homes = np.array([cell, *sorted(members.keys() - {cell})])
+        close = queries @ layout.centroids[homes].T
+        close[:, 0] = 2
+        rank = np.argsort(np.argsort(-close, axis=1, kind="stable"), axis=1, kind="stable")
+        blocks = ((np.frombuffer(b"".join(members[h][0]), np.int64), _vectors(members[h][1]), np.flatnonzero(rank[:, i] < layout.probes)) for i, h in enumerate(homes.tolist()))
+        ids, alike = nearest(queries, own, blocks, neighbours)
+        at = layout.range_of(np.full(len(own), cell), own)
+        return pa.table({"range": pa.array(at, pa.int32()), "node": own, "near": pa.array([x.tobytes() for x in ids], pa.binary()), "alike": pa.array([x.tobytes() for x in alike], pa.binary())})
+
+    return run
+
+
+def graph(docs: DataFrame, *, neighbours: int = NEIGHBOURS, cell_nodes: int = 2_000, probe: float = PROBE, range_bytes: int = 32 << 20) -> tuple[DataFrame, Layout]:
+    """The nearest-neighbour graph of ``docs``: (range, node, near, alike), staged, and its layout. ``probe`` times the root of the
+    number of cells is how many a node searches."""
+    nodes = _nodes(docs)
+    n = nodes.count()
+    sample = nodes.orderBy(F.xxhash64("sketch"), "sketch").limit(SAMPLE).select("sketch").toArrow()["sketch"].to_pylist()
+    cells = min(MOST_CELLS, parts_for(n, cell_nodes))
+    layout = Layout(fit_cells(_vectors(sample), cells), parts_for(probe * cells**0.5, 1))
+
+    def loads(batches):
+        for batch in batches:
+            size = batch["bytes"].to_numpy()
+            light = size <= range_bytes
+            cell = layout.cells(_vectors(batch["sketch"].to_pylist())) if len(batch) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"cell": pa.array(np.where(light, cell, -1), pa.int32()), "node": pa.array(np.where(light, 0, node_ids(np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH))), pa.int64()), "bytes": pa.array(size)})
+
+    # A row for each cell, and for each node of more than range_bytes: fewer than there are ranges.
+    found = nodes.mapInArrow(loads, "cell int, node long, bytes long").groupBy("cell", "node").agg(F.sum("bytes").alias("bytes")).collect()
+    layout.cut({r["cell"]: r["bytes"] for r in found if r["cell"] >= 0}, {r["node"]: r["bytes"] for r in found if r["cell"] < 0}, range_bytes)
+    members = nodes.select("sketch").mapInArrow(_members(layout), "cell int, home int, ids binary, sketches binary")
+    made = members.groupBy("cell").applyInArrow(_near(layout, neighbours), "range int, node long, near binary, alike binary")
+    return stage(made, "graph", reclaim=True), layout
+
+
+def walk(n: int, near: np.ndarray, alike: np.ndarray) -> list[int]:
+    """The order of visit of nodes 0 .. n-1: greedy paths over their links, lowest degree first. ``near`` has
+    the neighbours of each node, -1 for none."""
+    row, column = np.nonzero(near >= 0)
+    other, score = near[row, column], alike[row, column]
+    pair = np.unique(np.minimum(row, other) * n + np.maximum(row, other), return_index=True)[1]
+    a, b, s = np.r_[row[pair], other[pair]], np.r_[other[pair], row[pair]], np.r_[score[pair], score[pair]]
+    order = np.lexsort((b, -s, a))
+    links = b[order].tolist()
+    edge = np.searchsorted(a[order], np.arange(n + 1))
+    lowest = np.argsort(np.diff(edge), kind="stable").tolist()
+    edge = edge.tolist()
     seen, out = [False] * n, []
-    for i in sorted(range(n), key=lambda i: len(links[i])):
+    for i in lowest:
         while not seen[i]:
             seen[i] = True
             out.append(i)
-            i = max((j for j in links[i] if not seen[j]), key=alike[i].__getitem__, default=i)
+            i = next((j for j in links[edge[i] : edge[i + 1]] if not seen[j]), i)
     return out
 
 
+def _ranged(layout: Layout):
+    """Documents with their node and range. Copies of one text beyond a range's bytes are dealt to ranges of their own."""
+
+    def run(batches):
+        for batch in batches:
+            sketch = quantized(batch["text"])
+            node = node_ids(sketch) if len(sketch) else np.empty(0, np.int64)
+            at = layout.range_of(layout.cells(_vectors([sketch.tobytes()])), node) if len(sketch) else node
+            if layout.heavy:
+                for i in np.flatnonzero(np.isin(node, list(layout.heavy))).tolist():
+                    first, parts = layout.heavy[int(node[i])]
+                    at[i] = first + (hash(batch["doc_id"][i].as_py()) + i) % parts
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(node), batch["doc_id"], batch["text"]], ["range", "node", "doc_id", "text"])
+
+    return run
+
+
 class _Filler:
     """Cuts a stream of documents into sequences; yields rows (doc, start, part, of, sequence, offset)."""
 
@@ -385,42 +587,63 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(tokenizer: str, length: int, block_docs: int, block_bytes: int, digest_only: bool):
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        doc, at, part, n, sequence, offset = zip(*rows, strict=True)
+def _order(docs: pa.Table, links: pa.Table) -> np.ndarray:
+    """The order of a range's documents: nodes along their paths, within a node by doc_id, nulls first."""
+    ids = docs["doc_id"].combine_chunks()
+    missing = pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.int8)
+    nodes, of = np.unique(docs["node"].to_numpy(), return_inverse=True)
+    near = np.full((len(nodes), NEIGHBOURS), -1, np.int64)
+    alike = np.zeros((len(nodes), NEIGHBOURS), np.float32)
+    if len(links):
+        mine = links["node"].to_numpy()
+        there, scores = (np.frombuffer(b"".join(links[c].to_pylist()), k).reshape(len(mine), -1) for c, k in (("near", np.int64), ("alike", np.float32)))
+        row = np.minimum(np.searchsorted(nodes, mine), len(nodes) - 1)
+        at = np.minimum(np.searchsorted(nodes, there), len(nodes) - 1)
+        inside = nodes[at] == there  # links to other ranges lead to no path here
+        known = nodes[row] == mine
+        near[row[known]], alike[row[known]] = np.where(inside, at, -1)[known], scores[known]
+    place = np.empty(len(nodes), np.int64)
+    place[walk(len(nodes), near, alike)] = np.arange(len(nodes))
+    return np.lexsort((ids.fill_null(0).to_numpy(), missing, place[of]))
+
+
+def _pack(tokenizer: str, length: int, block_bytes: int, digest_only: bool):
+    def table_of(rows: list[tuple]) -> pa.Table:
+        doc, at, part, n, sequence, offset = zip(*rows, strict=True) if rows else ((),) * 6
         content = pa.array([zlib.crc32(p) for p in part], pa.int64()) if digest_only else pa.array(part, pa.binary())
         columns = [pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array([len(p) // 4 for p in part], pa.int64()), content, pa.array(n, pa.int64()), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32" if digest_only else "ids", "doc_tokens", "sequence_id", "offset"])
+        return pa.Table.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32" if digest_only else "ids", "doc_tokens", "sequence_id", "offset"])
 
-    def run(batches):
+    def run(docs: pa.Table, links: pa.Table) -> pa.Table:
+        if not len(docs):
+            return table_of([])
         encode = _encoder(tokenizer)
-        filler = _Filler(length, TaskContext.get().partitionId() << 40)
+        filler = _Filler(length, docs["range"][0].as_py() << 32)
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for a, b in _words.slices(batch["text"], block_bytes):
-                for c in range(a, b, block_docs):
-                    part = batch.slice(c, min(b - c, block_docs))
-                    ids = part["doc_id"].to_pylist()
-                    tokens, first = encode.block(part["text"])
-                    vectors = np.frombuffer(b"".join(part["sketch"].to_pylist()), np.int8).reshape(-1, SKETCH).astype(np.float32)
-                    rows: list[tuple] = []
-                    for i in walk(vectors):
-                        rows += filler.add(ids[i], tokens[first[i] : first[i + 1]].tobytes() + end)
-                    if rows:
-                        yield batch_of(rows)
-        if rows := list(filler.end()):
-            yield batch_of(rows)
-        encode.forget()
+        order = _order(docs, links)
+        ids, texts = docs["doc_id"].combine_chunks().take(pa.array(order)).to_pylist(), docs["text"]
+        out: list[pa.Table] = []
+        size = pc.fill_null(pc.binary_length(texts), 0).combine_chunks().to_numpy()[order]
+        step = np.r_[0, np.flatnonzero(np.diff(np.cumsum(size) // block_bytes)) + 1, len(order)]
+        for a, b in zip(step[:-1].tolist(), step[1:].tolist(), strict=True):
+            part = texts.take(pa.array(order[a:b])).combine_chunks()
+            tokens, first = encode.block(part)
+            rows: list[tuple] = []
+            for i in range(b - a):
+                rows += filler.add(ids[a + i], tokens[first[i] : first[i + 1]].tobytes() + end)
+            out.append(table_of(rows))
+        out.append(table_of(list(filler.end())))
+        encode.settle()
         _words.tidy()
+        return pa.concat_tables(out)
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 32 << 20, block_docs: int = 512, block_bytes: int = 4 << 20, digest_only: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 32 << 20, block_bytes: int = 2 << 20, cell_nodes: int = 2_000, probe: float = PROBE, digest_only: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit; with ``digest_only`` their
     CRC-32, ids_crc32), doc_tokens, sequence_id, offset."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    links, layout = graph(docs, cell_nodes=cell_nodes, probe=probe, range_bytes=range_bytes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    keyed = rows.mapInArrow(_keyed, "key int, doc_id long, text string, sketch binary")
-    ranged = keyed.repartitionByRange(parts_for(size, range_bytes), "key", "doc_id").sortWithinPartitions("key", "doc_id", F.xxhash64("text"))
-    return ranged.select("doc_id", "text", "sketch").mapInArrow(_pack(tokenizer, length, block_docs, block_bytes, digest_only), DIGEST if digest_only else SCHEMA)
+    placed = rows.mapInArrow(_ranged(layout), "range int, node long, doc_id long, text string")
+    return placed.groupBy("range").cogroup(links.groupBy("range")).applyInArrow(_pack(tokenizer, length, block_bytes, digest_only), DIGEST if digest_only else SCHEMA)

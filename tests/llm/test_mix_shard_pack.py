@@ -181,7 +181,7 @@ def test_packing_round_trip(docs, rows, empty, length):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.TOKENIZER)
-    out = packing.pack(docs, queries.TOKENIZER, length=length, range_bytes=1 << 14, block_docs=8).collect()
+    out = packing.pack(docs, queries.TOKENIZER, length=length, range_bytes=1 << 14, block_bytes=1 << 12, cell_nodes=5).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in out:
         assert len(r["ids"]) == 4 * r["length"] > 0
@@ -207,6 +207,42 @@ def test_packing_round_trip(docs, rows, empty, length):
     assert packing.pack(empty, queries.TOKENIZER).count() == 0
 
 
+@needs_vocabulary
+def test_packing_splits_copies_beyond_a_range(spark):
+    df = spark.createDataFrame([(i, "the same text " * 20) for i in range(400)], "doc_id long, text string")
+    out = packing.pack(df, queries.TOKENIZER, range_bytes=1 << 14).collect()
+    assert Counter(r["doc_id"] for r in out if r["start"] == 0) == Counter(range(400)) and len({r["sequence_id"] >> 32 for r in out}) > 4
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_graph_recall(spark):
+    """The neighbours found against brute force over all nodes, for every node."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    links, layout = packing.graph(docs, cell_nodes=25)
+    assert len(layout.centroids) > 30 and layout.probes < 9
+    rows = links.collect()
+    sketch = np.unique(packing.quantized(pa.array([r["text"] for r in docs.select("text").collect()])), axis=0)
+    ids, v = packing.node_ids(sketch), packing._vectors([sketch.tobytes()])
+    assert sorted(r["node"] for r in rows) == sorted(ids.tolist())
+    near = v @ v.T
+    np.fill_diagonal(near, -2)
+    at = {int(i): k for k, i in enumerate(ids)}
+    hit = 0
+    for r in rows:
+        bar = np.sort(near[at[r["node"]]])[-packing.NEIGHBOURS]
+        found = [at[int(x)] for x in np.frombuffer(r["near"], np.int64) if x != -1]
+        assert len(set(found)) == len(found) and at[r["node"]] not in found
+        hit += sum(near[at[r["node"]], j] >= bar - 1e-5 for j in found)
+    assert hit / (packing.NEIGHBOURS * len(rows)) > 0.85
+
+
+def test_walk():
+    """Paths start at the lowest degree and go to the nearest unvisited neighbour."""
+    near = np.array([[1, -1], [2, 0], [1, 3], [2, -1], [-1, -1]])
+    alike = np.array([[0.9, 0], [0.8, 0.9], [0.8, 0.95], [0.95, 0], [0, 0]], np.float32)
+    assert packing.walk(5, near, alike) == [4, 0, 1, 2, 3] and packing.walk(0, near[:0], alike[:0]) == []
+
+
 @needs_vocabulary
 def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer

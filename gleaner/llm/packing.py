@@ -37,11 +37,13 @@ from gleaner.llm._common import parts_for, stage
 SKETCH = 64
 NEIGHBOURS = 8
 #: Nodes, the first by a hash, to which the cells are fitted; cells at most; cells searched, times the root of their number.
-SAMPLE, MOST_CELLS, PROBE = 20_000, 4_096, 1.2
+SAMPLE, MOST_CELLS, PROBE = 20_000, 4_096, 1.5
 END_ID = 1
 #: Units whose ids are kept; beyond that the memory starts afresh.
 MEMO = 300_000
 TABLE_BITS = 20
+#: Queries of a cell in one product; hits that gather before they are sorted.
+STEP, MOST_HITS = 512, 1 << 18
 #: Hashes of units for the library are set apart by this.
 ODD = 0x5851F42D4C957F2D
 
@@ -420,31 +422,60 @@ def _members(layout: Layout):
     return run
 
 
-def nearest(queries: np.ndarray, own: np.ndarray, blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], neighbours: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, likeness): the best neighbours of each query among blocks of (ids, vectors, rows of the queries that
-    search it), best first; -1 for none."""
+class _Best:
+    """The best neighbours of each query so far; hits gather until there are many."""
+
+    def __init__(self, n: int, neighbours: int):
+        self.ids, self.alike = np.full((n, neighbours), -1, np.int64), np.full((n, neighbours), -2, np.float32)
+        self.hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, alike: np.ndarray) -> None:
+        self.hits.append((rows, ids, alike))
+        self.count += len(rows)
+        if self.count > MOST_HITS:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.hits:
+            return
+        row, who, how = (np.concatenate(c) for c in zip(*self.hits, strict=True))
+        self.hits, self.count = [], 0
+        touched = np.unique(row)
+        k = self.ids.shape[1]
+        row = np.r_[row, np.repeat(touched, k)]
+        who, how = np.r_[who, self.ids[touched].ravel()], np.r_[how, self.alike[touched].ravel()]
+        order = np.argsort(row * 8.0 - how, kind="stable")  # likeness lies within 2
+        row, who, how = row[order], who[order], how[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, touched)[np.searchsorted(touched, row)]
+        best = rank < k
+        self.ids[row[best], rank[best]], self.alike[row[best], rank[best]] = who[best], how[best]
+
+
+def nearest(queries: np.ndarray, own: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], neighbours: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, likeness): the best neighbours of each query among the other queries and blocks of (ids, vectors, rows of
+    the queries that search it), best first; -1 for none."""
     n = len(queries)
-    ids, alike = np.full((n, neighbours), -1, np.int64), np.full((n, neighbours), -2, np.float32)
+    found = _Best(n, neighbours)
+    for a in range(0, n, STEP):
+        near = queries[a : a + STEP] @ queries.T
+        rows = np.arange(len(near))
+        near[rows, a + rows] = -2
+        k = min(neighbours, n - 1)
+        if k:
+            top = np.argpartition(near, n - k, axis=1)[:, n - k :]
+            found.add(np.repeat(a + rows, k), own[top.ravel()], np.take_along_axis(near, top, 1).ravel())
+    found.settle()
     for their, vectors, rows in blocks:
-        step = max(1, (8 << 20) // max(len(their), 1))
-        for a in range(0, len(rows), step):
-            part = rows[a : a + step]
-            near = queries[part] @ vectors.T
-            if len(their) > 4 * neighbours and alike[part, -1].max() < -1:  # nothing yet: the first block
-                cut = np.partition(near, len(their) - neighbours - 1, axis=1)[:, len(their) - neighbours - 1]
-            else:
-                cut = alike[part, -1]
-            r, c = np.nonzero(near > cut[:, None])
-            r, c = r[keep := their[c] != own[part[r]]], c[keep]
-            found = np.concatenate([np.repeat(np.arange(len(part)), neighbours), r])
-            who = np.concatenate([ids[part].ravel(), their[c]])
-            how = np.concatenate([alike[part].ravel(), near[r, c]])
-            order = np.lexsort((who, -how, found))
-            found, who, how = found[order], who[order], how[order]
-            rank = np.arange(len(found)) - np.searchsorted(found, np.arange(len(part)))[found]
-            best = rank < neighbours
-            ids[part[found[best]], rank[best]], alike[part[found[best]], rank[best]] = who[best], how[best]
-    return ids, alike
+        turned = np.ascontiguousarray(vectors.T)
+        for a in range(0, len(rows), STEP):
+            part = rows[a : a + STEP]
+            near = queries[part] @ turned
+            hit = np.flatnonzero(near > found.alike[part, -1:])
+            r, c = np.divmod(hit, len(their))
+            found.add(part[r], their[c], near.ravel()[hit])
+    found.settle()
+    return found.ids, found.alike
 
 
 def _near(layout: Layout, neighbours: int):
@@ -462,12 +493,11 @@ def _near(layout: Layout, neighbours: int):
         own, queries = np.frombuffer(b"".join(members[cell][0]), np.int64), _vectors(members[cell][1])
         order = np.argsort(own)
         own, queries = own[order], queries[order]
-        # The home cell first, so that later ones have a bar to pass.
         homes = np.array([cell, *sorted(members.keys() - {cell})])
         close = queries @ layout.centroids[homes].T
         close[:, 0] = 2
         rank = np.argsort(np.argsort(-close, axis=1, kind="stable"), axis=1, kind="stable")
-        blocks = ((np.frombuffer(b"".join(members[h][0]), np.int64), _vectors(members[h][1]), np.flatnonzero(rank[:, i] < layout.probes)) for i, h in enumerate(homes.tolist()))
+        blocks = ((np.frombuffer(b"".join(members[h][0]), np.int64), _vectors(members[h][1]), np.flatnonzero(rank[:, i] < layout.probes)) for i, h in enumerate(homes.tolist()) if i)
         ids, alike = nearest(queries, own, blocks, neighbours)
         at = layout.range_of(np.full(len(own), cell), own)
         return pa.table({"range": pa.array(at, pa.int32()), "node": own, "near": pa.array([x.tobytes() for x in ids], pa.binary()), "alike": pa.array([x.tobytes() for x in alike], pa.binary())})
@@ -475,7 +505,7 @@ def _near(layout: Layout, neighbours: int):
     return run
 
 
-def graph(docs: DataFrame, *, neighbours: int = NEIGHBOURS, cell_nodes: int = 2_000, probe: float = PROBE, range_bytes: int = 32 << 20) -> tuple[DataFrame, Layout]:
+def graph(docs: DataFrame, *, neighbours: int = NEIGHBOURS, cell_nodes: int = 2_000, probe: float = PROBE, range_bytes: int = 16 << 20) -> tuple[DataFrame, Layout]:
     """The nearest-neighbour graph of ``docs``: (range, node, near, alike), staged, and its layout. ``probe`` times the root of the
     number of cells is how many a node searches."""
     nodes = _nodes(docs)
@@ -640,7 +670,7 @@ def _pack(tokenizer: str, length: int, block_bytes: int, digest_only: bool):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 32 << 20, block_bytes: int = 2 << 20, cell_nodes: int = 2_000, probe: float = PROBE, digest_only: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, *, length: int = 2048, range_bytes: int = 16 << 20, block_bytes: int = 2 << 20, cell_nodes: int = 2_000, probe: float = PROBE, digest_only: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian 32-bit; with ``digest_only`` their
     CRC-32, ids_crc32), doc_tokens, sequence_id, offset."""
     links, layout = graph(docs, cell_nodes=cell_nodes, probe=probe, range_bytes=range_bytes)

@@ -5,6 +5,11 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 return the columns of ``documents``. ``run`` writes each stage's result to the shared folder and reads
 it again for the next. After mixing, a doc_id may occur in several rows, one for each time its text is
 taken; packing treats them as documents of their own.
+
+Defined results: a null text is not toxic, equals the empty text, and is packed as its end token where the mix takes
+it (it has no words, so the mix leaves it out); rows with a null doc_id pass the near-copy stage; labels that are missing, null
+or clashing teach nothing, and without labels of both kinds no document is toxic; an empty table gives an empty result; further
+columns travel along up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +32,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 % of their five-word shingles, the smallest doc_id stays."""
-    return near_dedup.drop_near_duplicates(docs, shingle=5, percent=80)
+    """Of documents linked as the contract of op8 links them (80 % of two-word shingles), the smallest doc_id stays."""
+    return near_dedup.drop_near_duplicates(docs, shingle=2, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def test_packing_splits_copies_beyond_a_range(spark):
 def test_graph_recall(spark):
     """The neighbours found against brute force over all nodes, for every node."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    links, layout = packing.graph(docs, cell_nodes=25)
+    links, layout = packing.graph(docs, cell_nodes=25, probe=1.2)
     assert len(layout.centroids) > 30 and layout.probes < 9
     rows = links.collect()
     sketch = np.unique(packing.quantized(pa.array([r["text"] for r in docs.select("text").collect()])), axis=0)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from importlib.util import find_spec
-from pathlib import Path
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import exact_dedup, fingerprints, mixing, near_dedup, packing, quality, secrets, sharding, substring_dedup, toxicity
 
 #: The vocabulary file of a public tokenizer; any tokenizers file will do.
-TOKENIZER = str(Path(find_spec("public_tokenizers").origin).parent / "word_bpe_49k.json") if find_spec("public_tokenizers") else "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,46 +20,57 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal texts of ``documents``: one row a document, the largest doc_id of a group stays."""
     return exact_dedup.exact_duplicates(_documents(spark, sf_dir))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` in 20-word windows that occur earlier as well: counts, and a digest of the rest."""
     return substring_dedup.remove_repeats(_documents(spark, sf_dir), window=20, digest_only=True)
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts, with likenesses."""
     return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate for a secret in ``documents``, with the forest's probability; the path is the source."""
     return secrets.scan(_documents(spark, sf_dir), secrets.train(spark), path="source")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as token pieces in sequences of at most 2048, related documents together."""
     return packing.pack(_documents(spark, sf_dir), TOKENIZER, length=2048, digest_only=True)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for each of ``documents``, learned from labels that aren't held out."""
     return toxicity.toxicity(_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.7)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each of ``documents`` the mix takes at weights 1, 2, 3, repeating."""
     return mixing.taken_words(_documents(spark, sf_dir), weights=(1, 2, 3), most_repeats=3.0)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for each of ``documents``, learned from labels that aren't held out."""
     return quality.quality(_documents(spark, sf_dir), _labels(spark, sf_dir), threshold=0.5)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` linked by 80 % of their two-word shingles."""
     return near_dedup.near_duplicates(_documents(spark, sf_dir), shingle=2)
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` in eight shards of nearly equal bytes, equal texts together."""
     return sharding.shard_by_bytes(_documents(spark, sf_dir), shards=8)
 
 
 def queries() -> dict:
+    """Every query of this module by name."""
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
@@ -100,4 +109,5 @@ ORACLE = {
 
 
 def oracle_sql() -> dict[str, str]:
+    """DuckDB SQL with the same rows, for those that SQL can express."""
     return dict(ORACLE)

@@ -10,7 +10,8 @@ trained here on labelled findings, gives the probability that a candidate is a s
 are a table (text, path, label) with one candidate in each text; ``labelled_findings`` makes the
 standard set from templates with a seed, and ``train`` takes any other.
 
-Values leave this module only as SHA-256 and a masked form.
+Values leave this module only as SHA-256 and a masked form of fixed length, which shows the first three characters of
+values of 20 or more and nothing of shorter ones.
 
 Defined results: null and empty texts have no findings; a null path is empty; repeated rows repeat their
 findings; a very long value is a candidate like any other; an empty table gives an empty result.
@@ -217,7 +218,7 @@ def scan(docs: DataFrame, forest: RandomForestClassificationModel, *, path: str
     model = PipelineModel([VectorAssembler(inputCols=FEATURES, outputCol="features"), forest])
     probability = vector_to_array("probability")[1]
     out = model.transform(found).withColumn("p", probability)
-    masked = F.concat(F.substring("value", 1, 4), F.lit("..."), F.substring("value", -2, 2))
+    masked = F.rpad(F.when(F.length("value") >= 20, F.substring("value", 1, 3)).otherwise(""), 12, "*")
     return out.select(
         "doc_id",
         F.col("word_at").cast("long").alias("word_at"),

@@ -1,6 +1,7 @@
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -243,6 +244,33 @@ def test_secret_scan_finds_key_blocks_with_headers(spark, forest):
     assert sorted((r["doc_id"], r["value_sha256"]) for r in out) == sorted((i, secrets.digest_of(v)) for i, v in want)
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="no tables")
+def test_secret_scan_of_all_documents_against_plain_python(spark, forest):
+    """Every long run with a digit in every document is a candidate, and the planted tokens are secrets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = secrets.scan(docs, forest).collect()
+    found = {(r["doc_id"], r["value_sha256"]) for r in out}
+    likely = {(r["doc_id"], r["value_sha256"]) for r in out if r["is_secret"]}
+    runs, planted = set(), set()
+    for r in docs.select("doc_id", "text").collect():
+        for word in re.split(r"[\x20\x09-\x0D]+", r["text"] or ""):
+            for run in re.findall(r"[A-Za-z0-9+/_~.-]{16,}", word):
+                if re.search("[0-9]", run):
+                    runs.add((r["doc_id"], *(secrets.digest_of(run + pad) for pad in ("", "=", "=="))))
+        for value in re.findall(r"token = \"([0-9a-f]{40})\"", r["text"] or ""):
+            planted.add((r["doc_id"], secrets.digest_of(value)))
+    assert [x for x in runs if not any((x[0], s) in found for s in x[1:])] == []
+    assert len(planted) > 5 and len(planted & likely) >= 0.95 * len(planted)
+
+
+def test_masks_show_nothing_of_short_values(spark, forest):
+    rows = [(1, "password: hunter22", "kept"), (1, "password: hunter22", "kept"), (2, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', None)]
+    out = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, value string").withColumns({c: F.lit("x") for c in ("path", "name", "raw", "length")}), forest).collect()
+    short = secrets.digest_of("hunter22")
+    assert {r["masked"] for r in out if r["value_sha256"] == short} == {"*" * 12} and {len(r["masked"]) for r in out} == {12}
+    assert sum(r["value_sha256"] == short for r in out) == 2 and {r["value_sha256"] for r in out if r["doc_id"] == 1} == {short}
+
+
 def test_registry():
     names = [n.split("_")[0] for n in queries.queries()]
     assert sorted(names) == sorted(f"op{n}" for n in range(1, 11))

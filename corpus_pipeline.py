@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import exact_dedup, mixing, near_dedup, packing, toxicity
-from gleaner.llm._common import stage
+from gleaner.llm._common import release, stage, staged
 from gleaner.llm.queries import TOKENIZER
 
 
@@ -61,6 +61,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = len(staged(spark))
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), name, reclaim=True)
+        release(spark, since=before, but_last=True)  # what this stage and the one before it staged
     return STAGES[-1][1](spark, docs, sf_dir)

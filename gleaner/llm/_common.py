@@ -78,10 +78,19 @@ def drop_staged(df: DataFrame) -> None:
         _delete(spark, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table staged by this application; call it when all results are written."""
-    for path in _staged.pop(spark.sparkContext.applicationId, []):
+def staged(spark: SparkSession) -> list[str]:
+    """The tables staged by this application and not yet released, oldest first."""
+    return _staged.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, *, since: int = 0, but_last: bool = False) -> None:
+    """Delete the tables staged by this application, indexes among them, once all results that need them are
+    written: those after the first ``since``, and with ``but_last`` not the newest."""
+    paths = staged(spark)
+    gone = paths[since : -1 if but_last else None]
+    for path in gone:
         _delete(spark, path)
+    paths[:] = [p for p in paths if p not in set(gone)]
 
 
 def file_system(spark: SparkSession, path: str):

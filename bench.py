@@ -30,8 +30,6 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Single queries read a few row groups: planning their few kilobytes anew between stages costs more than it saves.
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
     spark.range(1000).selectExpr("sum(id)").collect()  # the session's own start isn't the engine's
     seconds: dict[str, float] = {}
 

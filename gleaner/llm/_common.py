@@ -46,14 +46,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stage(df: DataFrame, name: str, *, by: list[str] | None = None, reclaim: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, *, by: list[str] | None = None, reclaim: bool = False, compact: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     ``by`` makes a folder for each value of those columns. ``reclaim`` asks the driver to drop shuffle files
-    that nothing refers to any more.
+    that nothing refers to any more. ``compact`` shuffles once more, to files of the size that Spark advises instead of
+    one a task: each file costs an executor without Hadoop's native library two started processes (chmod, also for the
+    checksum), and every later reader a part of a task.
     """
     spark = df.sparkSession
     path = stage_path(spark, name)
+    if compact:
+        df = df.hint("rebalance")
     df.write.partitionBy(*by or []).parquet(path)
     schema = df.schema
     if reclaim:

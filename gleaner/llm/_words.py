@@ -55,6 +55,19 @@ def tidy() -> None:
         pass
 
 
+def tidied(run):
+    """``run``, a function for mapInArrow that keeps nothing from one batch to the next, with freed memory given back
+    after each batch: beside a JVM that has taken its whole heap, two workers have little."""
+
+    def each(batches):
+        for batch in batches:
+            yield from run(iter((batch,)))
+            del batch
+            tidy()
+
+    return each
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, a bijection."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

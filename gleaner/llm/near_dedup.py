@@ -170,6 +170,8 @@ def _confirm(shingle: int, percent: int):
                 both = len(np.intersect1d(mine, other, assume_unique=True))
                 if 100 * both >= percent * (len(mine) + len(other) - both):
                     out.append((node[x], node[y]))
+        sets.clear()
+        _words.tidy()
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
@@ -178,7 +180,7 @@ def _confirm(shingle: int, percent: int):
 def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, percent: int, block_shingles: int) -> DataFrame:
     """The links among ``pairs`` (a, b: class ids; na, nb: sizes), as pairs of nodes. Pairs go to blocks by b, split by a where
     b has many; a block holds each text that its pairs need once, and its pairs have about ``block_shingles`` together."""
-    pairs = stage(pairs.distinct(), "pairs")
+    pairs = stage(pairs.distinct(), "pairs", compact=True)
     cost = F.col("na") + F.col("nb")
     blocks = parts_for(pairs.agg(F.coalesce(F.sum(cost), F.lit(0))).first()[0], block_shingles)
     spread = pairs.groupBy("b").agg(F.sum(cost).alias("m")).where(F.col("m") > block_shingles).select("b", F.ceil(F.col("m") / block_shingles).alias("salts"))
@@ -189,7 +191,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     also = placed.select("block", F.col("b").alias("id")).distinct()
     need = wanted.join(also, ["block", "id"], "full").join(classes.select("id", "node", "d1", "d2"), "id")
     with_text = need.join(texts, need["node"] == texts["doc_id"]).drop("doc_id")
-    return stage(with_text.groupBy("block").applyInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed", reclaim=True)
+    return stage(with_text.groupBy("block").applyInArrow(_confirm(shingle, percent), "a long, b long"), "confirmed", reclaim=True, compact=True)
 
 
 def _cell(values: np.ndarray) -> np.ndarray:
@@ -206,6 +208,7 @@ def _counts(shingle: int):
                 np.add.at(total, _cell(found), 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), pa.array(total[hit])], ["cell", "c"])
+        _words.tidy()
 
     return run
 
@@ -256,7 +259,7 @@ def _prefix_pairs(hot: DataFrame, texts: DataFrame, shingle: int, percent: int)
     counts = np.zeros(CELLS, np.int64)
     counts[sums["cell"].to_numpy()] = sums["c"].to_numpy()
     made = "token long, low int, high int, id long, node long, component long, n long, place long"
-    tokens = stage(full.mapInArrow(_prefixed(shingle, percent, counts), made), "prefixes", reclaim=True)
+    tokens = stage(full.mapInArrow(_words.tidied(_prefixed(shingle, percent, counts)), made), "prefixes", reclaim=True)
     at = ["token", "low", "high"]
     company = tokens.groupBy(*at).agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select(*at)
     tokens = tokens.join(company, at)
@@ -269,22 +272,22 @@ def _prefix_pairs(hot: DataFrame, texts: DataFrame, shingle: int, percent: int)
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 20, most_members: int = MOST_MEMBERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    sketches = stage(texts.mapInArrow(_sketch(shingle), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches")
+    sketches = stage(texts.mapInArrow(_words.tidied(_sketch(shingle)), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches", compact=True)
     of = ["n_shingles", "d1", "d2"]
     nodes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class has a number of its own; its node is the smallest doc_id with it.
     classes = nodes.groupBy(*of).agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
-    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes", reclaim=True)
-    keyed = classes.select("id", "signature").mapInArrow(_keys, "key long, id long")
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes", reclaim=True, compact=True)
+    keyed = classes.select("id", "signature").mapInArrow(_words.tidied(_keys), "key long, id long")
     keyed = stage(keyed, "keys", reclaim=True)
     low = keyed.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1").drop("m")
-    shared = stage(keyed.join(low, "key"), "shared", reclaim=True)  # key, id, low: keys with company
+    shared = stage(keyed.join(low, "key"), "shared", reclaim=True, compact=True)  # key, id, low: keys with company
     drop_staged(keyed)
 
     def filtered(pairs: DataFrame) -> DataFrame:
         for x in ("a", "b"):
             pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}")), x)
-        return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_agree(percent), "a long, b long, na long, nb long")
+        return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_words.tidied(_agree(percent)), "a long, b long, na long, nb long")
 
     # The texts of any row with a class' node; repeated ids are told apart by their digests.
     rep_texts = texts.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -299,14 +302,14 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, blo
     placed = classes.join(groups.withColumnRenamed("id", "node"), "node", "left").select("id", "node", "d1", "d2", F.coalesce("component", "node").alias("component"))
     labelled = shared.join(placed.select("id", "component"), "id").select("key", "id", "component")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("key", "m")
-    open_keys = stage(labelled.join(mixed, "key"), "open", reclaim=True)
+    open_keys = stage(labelled.join(mixed, "key"), "open", reclaim=True, compact=True)
     narrow = open_keys.where(F.col("m") <= most_members)
     left, right = (narrow.select("key", F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
     cross = left.join(right, "key").where("ca <> cb AND a > b").select("a", "b").distinct()
     cross = cross.join(stars, ["a", "b"], "left_anti")  # those were compared in round 1
     pairs = filtered(cross)
     wide = open_keys.where(F.col("m") > most_members).select("id").distinct()
-    hot = stage(placed.join(wide, "id"), "hot", reclaim=True)
+    hot = stage(placed.join(wide, "id"), "hot", reclaim=True, compact=True)
     if not hot.isEmpty():
         pairs = pairs.unionByName(_prefix_pairs(hot, rep_texts, shingle, percent))
     more = _confirmed(pairs, classes, rep_texts, shingle, percent, block_shingles)

@@ -112,6 +112,7 @@ def _clean_votes(units: np.ndarray):
                         total[k] += np.bincount(at, weight[a:b][owner] * (fold[a:b][owner] == 2 * k), len(units))
         hit = np.flatnonzero(total.any(0))
         yield pa.RecordBatch.from_pydict({"unit": units[hit].view(np.int64), "c0": total[0][hit], "c2": total[1][hit]})
+        _words.tidy()
 
     return run
 
@@ -212,6 +213,7 @@ def _scores_of(model: Model, kind: str):
                 yield pa.RecordBatch.from_pydict(columns)
         if kind == "law":
             yield pa.RecordBatch.from_pydict({"n": pa.nulls(1, pa.int64()), "best": pa.nulls(1, pa.float64()), "histogram": pa.array([cells], pa.list_(pa.int64()))})
+            _words.tidy()
 
     return run
 
@@ -258,7 +260,7 @@ def _logistic(model: Model, evidence: np.ndarray, label: np.ndarray) -> None:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_rows: int = TRAIN_ROWS) -> Model:
     """A model of ``label`` from at most ``most_rows`` rows of ``labels`` that aren't held out."""
     rows = training_rows(docs, labels, label, most_rows)
-    votes = rows.where("label = 1").select("text", "fold", "weight").mapInArrow(_toxic_votes, "unit long, up long, t0 double, t2 double")
+    votes = rows.where("label = 1").select("text", "fold", "weight").mapInArrow(_words.tidied(_toxic_votes), "unit long, up long, t0 double, t2 double")
     votes = votes.groupBy("unit").agg(F.min("up").alias("up"), F.sum("t0").alias("t0"), F.sum("t2").alias("t2"))
     votes = votes.where(F.col("t0") + F.col("t2") >= LEAST_VOTES).toArrow()
     sums = {(r["label"], r["fold"]): r["w"] for r in rows.groupBy("label", "fold").agg(F.sum("weight").alias("w")).collect()}
@@ -283,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_rows
     half = fit([0], 1.0)
     other = rows.where("fold = 2")
     _law(half, other.where("label = 0"))
-    seen = other.select("label", "text").mapInArrow(_scores_of(half, "evidence"), "label int, evidence double, score double, passages array<struct<from_word:long,to_word:long,excess:double>>").select("label", "evidence").toArrow()
+    seen = other.select("label", "text").mapInArrow(_words.tidied(_scores_of(half, "evidence")), "label int, evidence double, score double, passages array<struct<from_word:long,to_word:long,excess:double>>").select("label", "evidence").toArrow()
     _logistic(half, seen["evidence"].to_numpy(), seen["label"].to_numpy())
     whole = fit([0, 1], LEAST_VOTES)
     whole.rate, whole.chance, whole.slope, whole.start = half.rate, half.chance, half.slope, half.start
@@ -293,7 +295,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_rows
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: doc_id, score, evidence, passages (token ranges with their excess)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(_scores_of(model, "evidence"), "doc_id long, evidence double, score double, passages array<struct<from_word:long,to_word:long,excess:double>>")
+    return rows.mapInArrow(_words.tidied(_scores_of(model, "evidence")), "doc_id long, evidence double, score double, passages array<struct<from_word:long,to_word:long,excess:double>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, most_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -314,4 +316,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, mo
             values = np.concatenate([p["score"].to_numpy() for p in scored([bare])]) if len(batch) else np.zeros(0)
             yield batch.filter(pa.array(values < threshold))
 
-    return docs.select(*columns).mapInArrow(run, docs.schema)
+    return docs.select(*columns).mapInArrow(_words.tidied(run), docs.schema)

@@ -1,13 +1,14 @@
 import hashlib
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import _words, exact_dedup, near_dedup, substring_dedup
+from gleaner.llm import _common, _words, exact_dedup, near_dedup, substring_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -155,6 +156,30 @@ def test_prefixes_meet(percent):
             assert mine & other
 
 
+def test_near_stages_write_few_files(spark, docs):
+    """Small staged tables have one file, not one a task."""
+    before = set(_common.staged(spark))
+    near_dedup.near_duplicates(docs.repartition(8))
+    files = {p.rsplit("/", 1)[1].split("-")[0]: len(list(Path(p.removeprefix("file://")).glob("*.parquet"))) for p in _common.staged(spark) if p not in before}
+    assert {"sketches", "classes", "shared", "pairs", "confirmed", "open"} <= set(files)
+    assert {k: n for k, n in files.items() if n > 1} == {}
+
+
+def test_workers_give_memory_back_after_each_batch(docs, monkeypatch):
+    made = []
+    kind, original = type(docs), type(docs).mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda self, f, *a, **k: made.append(f) or original(self, f, *a, **k))
+        near_dedup.near_duplicates(docs)
+        toxicity.score(docs, toxicity.Model())
+    calls = []
+    monkeypatch.setattr(_words, "tidy", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a b c", None]})
+    for f in (made[0], made[-1]):  # sketches, scores
+        assert sum(len(b) for b in f(iter([batch, batch]))) == 4
+    assert len(calls) == 4
+
+
 def test_near_empty_and_drop(docs, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     out = near_dedup.drop_near_duplicates(docs)

@@ -50,7 +50,7 @@ def stage(df: DataFrame, name: str, *, by: list[str] | None = None, reclaim: boo
     """Write ``df`` to the shared folder and read it back: the lineage ends there.
 
     ``by`` makes a folder for each value of those columns. ``reclaim`` asks the driver to drop shuffle files
-    that nothing refers to any more. ``compact`` shuffles once more, to files of the size that Spark advises instead of
+    that nothing refers to any more, and the executors to give unused heap back. ``compact`` shuffles once more, to files of the size that Spark advises instead of
     one a task: each file costs an executor without Hadoop's native library two started processes (chmod, also for the
     checksum), and every later reader a part of a task.
     """
@@ -73,6 +73,16 @@ def free_shuffles(spark: SparkSession) -> None:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.2)
+    if not spark.sparkContext._jsc.sc().isLocal():  # else that was the executors' heap, too
+        shrink_heaps(spark)
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors collect garbage, after which they give unused heap back to the system: a heap that grew in one
+    stage stays as large otherwise, beside the Python workers of the next. One task for each core; an executor
+    that happens to get none keeps its heap."""
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.expr("reflect('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
 
 
 def drop_staged(df: DataFrame) -> None:

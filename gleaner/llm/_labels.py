@@ -54,6 +54,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TR
 
     # As few tasks as the sample needs, whatever the number of files of all documents.
     rows = rows.repartition(parts_for(most, TASK_ROWS), F.xxhash64("doc_id")).mapInArrow(_words.tidied(keyed), "doc_id long, text string, label int, fold int, key long")
-    rows = stage(rows, "labelled")
+    rows = stage(rows, "labelled", reclaim=True)
     votes = rows.groupBy("key", "label").agg(F.count("*").alias("_n"))  # at most as many as rows
     return rows.join(F.broadcast(votes), ["key", "label"]).withColumn("weight", 1.0 / F.col("_n")).drop("key", "_n")

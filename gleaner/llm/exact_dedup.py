@@ -127,7 +127,7 @@ def drop_exact_duplicates(docs: DataFrame, *, max_filter_bits: int = 1 << 27) ->
         whole = stage(whole, "whole", by=["_range"])
 
     def survivors(part: DataFrame) -> DataFrame:
-        small = stage(part.select(F.col("doc.doc_id").alias("doc_id"), "digest"), "digests")
+        small = stage(part.select(F.col("doc.doc_id").alias("doc_id"), "digest"), "digests", reclaim=True)
         words = stage(repeat_filter(small, "digest", bits), "filter")
         keepers = mark_suspects(small, "digest", words, bits).where("_suspect").groupBy("digest").agg(F.max("doc_id").alias("keep"))
         marked = mark_suspects(part, "digest", words, bits)

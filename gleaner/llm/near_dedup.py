@@ -272,7 +272,7 @@ def _prefix_pairs(hot: DataFrame, texts: DataFrame, shingle: int, percent: int)
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 20, most_members: int = MOST_MEMBERS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    sketches = stage(texts.mapInArrow(_words.tidied(_sketch(shingle)), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches", compact=True)
+    sketches = stage(texts.mapInArrow(_words.tidied(_sketch(shingle)), "doc_id long, n_shingles long, d1 long, d2 long, signature binary"), "sketches", reclaim=True, compact=True)
     of = ["n_shingles", "d1", "d2"]
     nodes = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     # A class has a number of its own; its node is the smallest doc_id with it.

@@ -165,6 +165,15 @@ def test_near_stages_write_few_files(spark, docs):
     assert {k: n for k, n in files.items() if n > 1} == {}
 
 
+def test_heaps_are_collected_by_tasks(spark):
+    def collections():
+        return sum(b.getCollectionCount() for b in spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+
+    before = collections()
+    _common.shrink_heaps(spark)
+    assert collections() > before
+
+
 def test_workers_give_memory_back_after_each_batch(docs, monkeypatch):
     made = []
     kind, original = type(docs), type(docs).mapInArrow

@@ -33,12 +33,16 @@ from pyspark.sql import functions as F
 from gleaner.llm import _words
 from gleaner.llm._labels import TRAIN_ROWS, held_out, training_rows
 
-PRIOR = 4.0
+PRIOR = 8.0
 SHIFT = 1.0
 MOST = 6.0
 STEMS = (5, 4)
 #: A unit needs this many votes of toxic documents to be in the model.
 LEAST_VOTES = 2.0
+#: Bound of lambda, which has no root where clean tokens never score above zero.
+MOST_RATE = 8.0
+#: The least slope of the curve: evidence always ranks, even where the fold for the curve shows none.
+LEAST_SLOPE = 0.05
 #: Cells of the histogram of token scores.
 CELLS = 97
 
@@ -227,26 +231,25 @@ def _law(model: Model, clean: DataFrame) -> None:
     if not len(rows):
         return
     p, s = counts / counts.sum(), np.clip(np.linspace(-MOST, MOST, CELLS) - MOST / (CELLS - 1), -MOST, MOST)
-    low, high = 1e-6, 1.0
+    low, high = 1e-6, MOST_RATE  # no clean token scores above zero: the sum stays below 1 at any lambda
     if (p[s > 0] > 0).any():
+        high = 1.0
         while (p * np.exp(high * s)).sum() < 1 and high < 64:
             high *= 2
         for _ in range(80):
             mid = (low + high) / 2
             low, high = (mid, high) if (p * np.exp(mid * s)).sum() < 1 else (low, mid)
-    model.rate = min(high, 8.0)
+    model.rate = min(high, MOST_RATE)
     n, best = rows["n"].to_numpy(), rows["best"].to_numpy()
     model.chance = float(len(n) / (n * np.exp(-model.rate * best)).sum())
 
 
 def _logistic(model: Model, evidence: np.ndarray, label: np.ndarray) -> None:
-    """Slope and start by Newton's method, with targets pulled in a little (Platt)."""
+    """Slope and start by Newton's method, with targets pulled in a little (Platt), so that one kind of label will do."""
     n1, n0 = label.sum(), (1 - label).sum()
-    if not n1 or not n0:
-        return
     y = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.column_stack([np.ones(len(y)), np.minimum(evidence, 60.0)])
-    beta = np.array([np.log(n1 / n0), 0.0])
+    beta = np.array([np.log((n1 + 1) / (n0 + 1)), 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = x.T @ (x * np.maximum(p * (1 - p), 1e-9)[:, None]) + np.diag([1e-4, 1e-3])
@@ -254,7 +257,7 @@ def _logistic(model: Model, evidence: np.ndarray, label: np.ndarray) -> None:
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-6:
             break
-    model.start, model.slope = float(beta[0]), float(max(beta[1], 0.0))
+    model.start, model.slope = float(beta[0]), float(max(beta[1], LEAST_SLOPE))
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", *, most_rows: int = TRAIN_ROWS) -> Model:

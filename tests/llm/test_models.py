@@ -1,6 +1,7 @@
 import random
 import re
 import time
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -52,6 +53,21 @@ def test_toxicity(labelled, docs, rows, empty):
     assert "score" in kept.columns
 
 
+def test_few_labels_rank_toxic_documents_first(spark):
+    """Six toxic documents to learn from, none of whose words is in a clean one: lambda has no root and the fold for the
+    curve may show no evidence, but held-out toxic documents still rank above clean ones."""
+    rng = random.Random(5)
+    fold = {k: [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == k] for k in range(3)}
+    ordinary = ["".join(rng.choice("ba de ki lo mu ra se ti vo ne".split()) for _ in range(3)) for _ in range(60)]
+    for toxic_at in ([*fold[0][:3], *fold[2][:3]], fold[0][:6], fold[2][:6]):
+        toxic = {*toxic_at, *fold[1][:6]}
+        rows = [(i, " ".join(x for _ in range(60) for x in [rng.choice(ordinary), *(["grubzel"] if i in toxic and rng.random() < 0.1 else [])])) for i in [*toxic, *fold[0][10:40], *fold[1][10:40], *fold[2][10:40]]]
+        rows = [(i, t + " grubzel" if i in toxic else t) for i, t in rows]
+        labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i, _ in rows], "doc_id long, quality int, toxic int")
+        out = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), labels).where("held_out").collect()
+        assert min(r["score"] for r in out if r["doc_id"] in toxic) > max(r["score"] for r in out if r["doc_id"] not in toxic)
+
+
 def test_toxicity_without_labels(labelled, spark):
     texts, labels = labelled
     out = toxicity.toxicity(texts, labels.where("toxic = 0"))

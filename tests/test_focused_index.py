@@ -3,10 +3,12 @@
 import random
 
 import pytest
+from corpus import Evaluator, rows
 from pyspark.sql import functions as F
 
 from gleaner import registry
 from gleaner.operators import index as ix
+from gleaner.operators import search as sx
 from gleaner.sources import tables
 
 SCHEMA = "doc_id long, url string, title string, body string"
@@ -27,7 +29,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", [*registry.SEARCHES, "pages_title_search", "plain_bm25_term", "hit_total", "top10_enriched", "synonym_or_query", "synonym_not_query", "dictionary_df_cf", "documents_by_id"])
+@pytest.mark.parametrize("name", [*registry.SEARCHES, "pages_title_search", "batch_bm25_top10_per_query", "plain_bm25_term", "hit_total", "top10_enriched", "synonym_or_query", "synonym_not_query", "dictionary_df_cf", "documents_by_id"])
 def test_a_single_query_writes_no_sorted_index(spark, folder, name, monkeypatch):
     def refused(*_):
         raise AssertionError("all postings sorted for one query")
@@ -56,3 +58,24 @@ def test_focused_has_statistics_of_all_and_postings_of_its_tokens(spark, folder,
     known = whole.postings.where(F.col("token").isin("ntea", "os")).select(*some.postings.columns)
     assert sorted(map(tuple, some.postings.collect())) == sorted(map(tuple, known.collect()))
     assert ix.focused(docs, [], str(tmp_path / "none")).stats == whole.stats
+
+
+@pytest.mark.parametrize("cells", [1, 40, 1 << 20])
+def test_a_batch_sends_on_the_best_of_each_task(spark, cells, monkeypatch):
+    """Few scores at a time and in all; ties by doc_id; negative weights count as in a single search."""
+    monkeypatch.setattr(sx, "BATCH_CELLS", cells)
+    docs = rows()
+    queries = ["termterm or searchengine", *[" ".join(t.split()[:3]) for *_, t in docs[:25]], ""]
+    index = ix.build(spark.createDataFrame(docs, SCHEMA).repartition(3))
+    best = sx.batch_top(index, spark.createDataFrame(list(enumerate(queries)), "query_id long, text string"), k=3)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan.split("Aggregate")[0]  # tasks keep their best before the window; pairs aren't aggregated
+    found = {}
+    for r in sorted(best.collect(), key=lambda r: (r["query_id"], r["rank"])):
+        found.setdefault(r["query_id"], []).append((r["doc_id"], round(r["score"], 6)))
+    evaluator = Evaluator(docs)
+    for i, q in enumerate(queries):
+        words = dict.fromkeys(w for w in q.split() if w != "or")
+        hits = evaluator.search(" or ".join(words)) if words else {}
+        want = sorted(((d, round(s, 6)) for d, (_, s) in hits.items()), key=lambda x: (-x[1], x[0]))[:3]
+        assert found.get(i, []) == want

@@ -48,3 +48,19 @@ def test_malformed_rows(spark):
     with pytest.raises(Exception, match="invalid document id"):
         tsv.parse_records(rows.where("value LIKE 'bad%'")).collect()
     assert sorted(map(tuple, tsv.embedding_texts(rows).collect())) == [(1, "search_document: t b"), (2, "search_document: u t"), (5, "search_document: x")]
+
+
+def test_lines_are_stripped_as_python_strips(spark):
+    """Every blank at either end and inside, letters next to them, and lines of nothing else."""
+    blanks = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    assert sorted(tsv.BLANKS) == blanks
+    lines = [f"{b}7\t{b}x{b}\tt{b}y\t{b}z{b}\tw{b}\t{b}" for b in blanks if b not in "\t"] + ["".join(blanks), "8\t\t\t\t\t", "\u200b9\ta\u200b", "9\ta\u200b\u3000"]
+    want = []
+    for line in lines:
+        f = line.strip().split("\t")
+        if len(f) >= 2 and f[0].strip(" ").isdigit():
+            want.append((int(f[0]), "search_document: " + (f[2] + " " + " ".join(f[3:]) if len(f) >= 4 else " ".join(f[1:]))))
+    rows = spark.createDataFrame([(x,) for x in lines], "value string")
+    assert Counter(map(tuple, tsv.embedding_texts(rows).collect())) == Counter(want)
+    plan = tsv.embedding_texts(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # each blank of a text cost a try of the pattern
